@@ -38,12 +38,13 @@ def has_digit(line: Column) -> Column:
     return line.rlike(f"[{DIGIT_SIGN}]")
 
 
-def _shape_of_data(line: Column) -> Column:
+def has_data_shape(line: Column) -> Column:
+    """``looks_like_data_line`` for a line that is stripped and not empty."""
     found = "|".join(
         [
             rf"{DIGIT}/{DIGIT}+/{DIGIT}",
             rf"{DIGIT}\.{DIGIT}{{2}}",
-            rf"{WORD_START}{DIGIT}{{3,}}{WORD_END}",
+            rf"(?={DIGIT}){WORD_START}{DIGIT}{{3,}}+{WORD_END}",
         ]
     )
     length = F.length(line)
@@ -54,7 +55,7 @@ def _shape_of_data(line: Column) -> Column:
 
 def looks_like_data_line(line: Column) -> Column:
     """Digits and punctuation dense enough, or a date, an amount or an id in the line."""
-    return let(strip(line), lambda s: F.when(s == "", False).otherwise(_shape_of_data(s)))
+    return let(strip(line), lambda s: F.when(s == "", False).otherwise(has_data_shape(s)))
 
 
 def looks_like_tabular(cell: Column) -> Column:
@@ -89,6 +90,12 @@ def is_section_stop(line: Column, phrases: list[str] = P.STOP_PHRASES) -> Column
     return reduce(or_, tests)
 
 
+def is_money_line(line: Column) -> Column:
+    """A pipe, a digit, and text in at least two cells."""
+    two_cells = rf"(?s)[^|{SPACE}][^|]*+\|.*[^|{SPACE}]"
+    return line.contains("|") & has_digit(line) & line.rlike(two_cells)
+
+
 def is_ledger_header(line: Column) -> Column:
     return reduce(lambda a, b: a & b, [line.contains(w) for w in P.LEDGER_HEADER_WORDS])
 

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pagegrid.functions.text import DIGIT, INLINE_SPACE, WORD, WORD_END, WORD_START
 
 _GROUPED = rf"{DIGIT}{{1,3}}(?:,{DIGIT}{{3}})*"
+# A word that starts with a digit or a capital; the cheap test comes before the lookbehind.
+_AT_DIGIT = rf"(?={DIGIT}){WORD_START}"
+_AT_CAPITAL = rf"(?=[A-Z]){WORD_START}"
 
 # Fixed values, in evaluation order: element types of lines whose table layout is lost.
 ELEMENT_PATTERNS = {
-    "numbers": rf"{WORD_START}{DIGIT}{{3,}}{WORD_END}",
-    "amounts": rf"{WORD_START}{_GROUPED}\.{DIGIT}{{2}}{WORD_END}",
+    "numbers": rf"{_AT_DIGIT}{DIGIT}{{3,}}+{WORD_END}",
+    "amounts": rf"{_AT_DIGIT}{_GROUPED}\.{DIGIT}{{2}}{WORD_END}",
     "negative_amounts": rf"-{_GROUPED}\.{DIGIT}{{2}}{WORD_END}",
-    "dates": rf"{WORD_START}{DIGIT}{{1,2}}/{DIGIT}{{1,2}}/{DIGIT}{{4}}{WORD_END}",
+    "dates": rf"{_AT_DIGIT}{DIGIT}{{1,2}}/{DIGIT}{{1,2}}/{DIGIT}{{4}}{WORD_END}",
     "references": rf"\*[A-Z]+#:?[{INLINE_SPACE}]*[{WORD}#\-]+",
-    "codes": rf"{WORD_START}[A-Z]{{1,3}}{DIGIT}{{2,6}}[A-Z]?{WORD_END}",
+    "codes": rf"{_AT_CAPITAL}[A-Z]{{1,3}}{DIGIT}{{2,6}}[A-Z]?{WORD_END}",
 }
 
 # Column name shown for each element type, in alphabetical type order.
@@ -28,10 +31,10 @@ ELEMENT_HEADERS = {
 
 # Column profile of a document.
 PROFILE_PATTERNS = {
-    "numeric": rf"{WORD_START}{DIGIT}+(?:\.{DIGIT}+)?{WORD_END}",
-    "date": rf"{WORD_START}{DIGIT}{{1,2}}[-/]{DIGIT}{{1,2}}[-/]{DIGIT}{{2,4}}{WORD_END}",
+    "numeric": rf"{_AT_DIGIT}{DIGIT}+(?:\.{DIGIT}+)?{WORD_END}",
+    "date": rf"{_AT_DIGIT}{DIGIT}{{1,2}}[-/]{DIGIT}{{1,2}}[-/]{DIGIT}{{2,4}}{WORD_END}",
     "currency": rf"\$?{_GROUPED}(?:\.{DIGIT}{{2}})?{WORD_END}",
-    "identifier": rf"{WORD_START}[A-Z]{{2,}}{DIGIT}+{WORD_END}|{WORD_START}{DIGIT}{{5,}}{WORD_END}",
+    "identifier": rf"{_AT_CAPITAL}[A-Z]{{2,}}+{DIGIT}++{WORD_END}|{_AT_DIGIT}{DIGIT}{{5,}}+{WORD_END}",
 }
 
 # Shapes of a single table cell.

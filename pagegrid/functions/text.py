@@ -19,19 +19,21 @@ WHITESPACE = (
 )
 
 # The same set for use inside a regex character class, with and without the newline.
-SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-INLINE_SPACE = r"\t\x0b-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"\t-\r\x1c-\x1f\x85\p{Z}"
+INLINE_SPACE = r"\t\x0b-\r\x1c-\x1f\x85\p{Z}"
 
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
 # Superscript, subscript, circled and similar signs that count as digits
 # of a text although they are not decimal digits.
-DIGIT_SIGN = (
+DIGIT_SIGNS = (
     DIGIT + r"\xb2\xb3\xb9\u1369-\u1371\u19da\u2070\u2074-\u2079\u2080-\u2089"
     r"\u2460-\u2468\u2474-\u247c\u2488-\u2490\u24ea\u24f5-\u24fd\u24ff"
     r"\u2776-\u277e\u2780-\u2788\u278a-\u2792"
     r"\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}"
 )
+# The same set, tested only for characters that are numbers at all.
+DIGIT_SIGN = rf"\p{{N}}&&[{DIGIT_SIGNS}]"
 SPECIAL = ".,#*:/-()$"
 
 # Word boundaries before and after a word character.

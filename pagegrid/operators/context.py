@@ -10,22 +10,28 @@ from pyspark.sql import functions as F
 
 from pagegrid.functions import cells as C
 from pagegrid.functions.lines import looks_like_tabular
-from pagegrid.functions.text import div, let, lines_of, strip, words
+from pagegrid.functions.text import let, lines_of, strip, words
 from pagegrid.operators.pages import PAGE
 
 
-def row_signature(cells: Column, parts: int = 3) -> Column:
+SIGNATURE_PARTS = 3
+
+
+def row_signature(cells: Column) -> Column:
     """The first cells longer than three characters."""
     return F.slice(
-        F.filter(F.transform(cells, strip), lambda c: F.length(c) > 3), 1, parts
+        F.filter(F.transform(cells, strip), lambda c: F.length(c) > 3), 1, SIGNATURE_PARTS
     )
 
 
 def is_related(signature: Column, line: Column) -> Column:
-    """A non-blank line holding more than half of the signature."""
-    found = F.size(F.filter(signature, lambda part: line.contains(part)))
-    need = div(F.size(signature), 2) + 1
-    return (F.size(signature) > 0) & (found >= need) & (strip(line) != "")
+    """More than half of the one to three signature parts occur in the line."""
+    found = [
+        F.when(line.contains(F.get(signature, F.lit(i))), 1).otherwise(0)
+        for i in range(SIGNATURE_PARTS)
+    ]
+    need = F.when(F.size(signature) > 1, 2).otherwise(1)
+    return found[0] + found[1] + found[2] >= need
 
 
 def line_candidates(line: Column, row_text: Column) -> Column:
@@ -44,10 +50,14 @@ def line_candidates(line: Column, row_text: Column) -> Column:
 
 
 def _rows_with_lines(pages: DataFrame) -> DataFrame:
-    """Pipe-table rows with signature, row text and the page's related lines."""
+    """Pipe-table rows with their text and the related, non-blank lines of the page."""
+    numbered = F.transform(
+        lines_of(F.col("markdown")),
+        lambda line, i: F.struct(i.alias("line_no"), line.alias("line")),
+    )
     tables = pages.filter(F.col("markdown").contains("|")).select(
         *PAGE,
-        lines_of(F.col("markdown")).alias("lines"),
+        F.filter(numbered, lambda x: strip(x["line"]) != "").alias("lines"),
         F.posexplode(C.pipe_tables(F.col("markdown"))).alias("pos", "rows"),
     )
     rows = tables.select(
@@ -56,18 +66,17 @@ def _rows_with_lines(pages: DataFrame) -> DataFrame:
         "lines",
         F.posexplode("rows").alias("row_pos", "cells"),
     )
-    numbered = F.transform(
-        F.col("lines"), lambda line, i: F.struct(i.alias("line_no"), line.alias("line"))
-    )
     related = let(
         row_signature(F.col("cells")),
-        lambda s: F.filter(numbered, lambda x: is_related(s, x["line"])),
+        lambda s: F.when(
+            F.size(s) > 0, F.filter("lines", lambda x: is_related(s, x["line"]))
+        ),
     )
     return rows.select(
         *PAGE,
         "table_no",
         (F.col("row_pos") + 1).alias("row_no"),
-        "cells",
+        F.array_join("cells", " ").alias("row_text"),
         related.alias("related"),
     )
 
@@ -92,8 +101,8 @@ def row_signatures(pages: DataFrame) -> DataFrame:
 
 def related_lines(pages: DataFrame) -> DataFrame:
     """Lines of the page that share more than half of a row's signature."""
-    found = _rows_with_lines(pages).select(*ROW, "cells", F.explode("related").alias("x"))
-    return found.select(*ROW, "cells", "x.line_no", "x.line")
+    found = _rows_with_lines(pages).select(*ROW, "row_text", F.explode("related").alias("x"))
+    return found.select(*ROW, "row_text", "x.line_no", "x.line")
 
 
 def candidates(pages: DataFrame) -> DataFrame:
@@ -101,17 +110,17 @@ def candidates(pages: DataFrame) -> DataFrame:
     return related_lines(pages).select(
         *ROW,
         "line_no",
-        F.explode(line_candidates(F.col("line"), F.array_join("cells", " "))).alias("candidate"),
+        F.explode(line_candidates(F.col("line"), F.col("row_text"))).alias("candidate"),
     )
 
 
 def missing_row_data(pages: DataFrame) -> DataFrame:
     """Distinct candidates of each row over its related lines, in order of appearance."""
-    found = F.flatten(
-        F.transform(
-            F.col("related"),
-            lambda x: line_candidates(x["line"], F.array_join(F.col("cells"), " ")),
-        )
+    found = let(
+        F.col("row_text"),
+        lambda text: F.flatten(
+            F.transform("related", lambda x: line_candidates(x["line"], text))
+        ),
     )
     rows = _rows_with_lines(pages).select(*ROW, F.array_distinct(found).alias("missing"))
     return rows.filter(F.size("missing") > 0)

@@ -43,9 +43,7 @@ def window_data(window: Column, phrases: list[str] = P.STOP_PHRASES) -> Column:
             F.transform(lines, lambda x: L.is_section_stop(x["line"], phrases)), True
         )
         kept = F.when(stop > 0, F.slice(lines, F.lit(1), (stop - 1).cast("int"))).otherwise(lines)
-        return F.filter(
-            kept, lambda x: L.has_digit(x["line"]) & L.looks_like_data_line(x["line"])
-        )
+        return F.filter(kept, lambda x: L.has_digit(x["line"]) & L.has_data_shape(x["line"]))
 
     return let(body, until_stop)
 
@@ -75,16 +73,11 @@ def invoice_reference(line: Column) -> Column:
 
 def money_lines(window: Column) -> Column:
     """Dates and amounts of pipe lines; the header line counts, section stops do not."""
-
-    def is_money(line: Column) -> Column:
-        filled = F.filter(F.split(line, r"\|"), lambda cell: strip(cell) != "")
-        return line.contains("|") & L.has_digit(line) & (F.size(filled) >= 2)
-
     numbered = F.transform(
         window, lambda line, i: F.struct(i.alias("offset"), line.alias("line"))
     )
     return F.transform(
-        F.filter(numbered, lambda x: is_money(x["line"])),
+        F.filter(numbered, lambda x: L.is_money_line(x["line"])),
         lambda x: F.struct(
             x["offset"].alias("offset"),
             find_all(x["line"], P.LEDGER_DATE).alias("dates"),
@@ -113,21 +106,19 @@ def ledger_rows(window: Column, phrases: list[str] = P.STOP_PHRASES) -> Column:
     )
 
     def row(no: Column, j: Column, hits: Column, money: Column) -> Column:
-        mine = lambda field: last(
-            F.filter(hits, lambda h: (h["no"] == no) & h[field].isNotNull())
-        )[field]
+        mine = F.filter(hits, lambda h: h["no"] == no)
+        kind = lambda m: last(F.filter(m, lambda h: h["type"].isNotNull()))["type"]
+        reference = lambda m: last(F.filter(m, lambda h: h["reference"].isNotNull()))["reference"]
         dates = last(F.filter(money, lambda m: F.size(m["dates"]) >= 2 * j + 2))["dates"]
+        pair = lambda d: F.array(F.get(d, 2 * j), F.get(d, 2 * j + 1))
         amounts = last(F.filter(money, lambda m: F.size(m["amounts"]) > j))["amounts"]
-        cells = [
-            no,
-            mine("type"),
-            mine("reference"),
-            F.get(dates, 2 * j),
-            F.get(dates, 2 * j + 1),
-            F.get(amounts, j),
-            F.lit(""),
-        ]
-        return F.array(*[F.coalesce(c, F.lit("")) for c in cells])
+        cells = F.concat(
+            F.array(no),
+            let(mine, lambda m: F.array(kind(m), reference(m))),
+            F.coalesce(let(dates, pair), F.array(F.lit(""), F.lit(""))),
+            F.array(F.get(amounts, j), F.lit("")),
+        )
+        return F.transform(cells, lambda c: F.coalesce(c, F.lit("")))
 
     def rows(hits: Column) -> Column:
         return let(
@@ -155,7 +146,8 @@ def has_ledger(text: Column) -> Column:
 def ledger_tables(lines: Column, phrases: list[str] = P.STOP_PHRASES) -> Column:
     """``array<table>``: for each header with invoices, the fixed columns and the rows."""
     header = F.array(F.array(*[F.lit(c) for c in P.LEDGER_COLUMNS]))
-    rows = F.transform(header_windows(lines), lambda h: ledger_rows(h["window"], phrases))
+    windows = let(lines, header_windows)
+    rows = F.transform(windows, lambda h: ledger_rows(h["window"], phrases))
     found = F.filter(rows, lambda r: F.size(r) > 0)
     return F.transform(found, lambda r: F.concat(header, r))
 
@@ -163,7 +155,7 @@ def ledger_tables(lines: Column, phrases: list[str] = P.STOP_PHRASES) -> Column:
 def invoice_headers(pages: DataFrame) -> DataFrame:
     """One row per header line with its window of up to 50 lines."""
     found = pages.filter(has_ledger(F.col("markdown"))).select(
-        *PAGE, F.explode(header_windows(lines_of(F.col("markdown")))).alias("h")
+        *PAGE, F.explode(let(lines_of(F.col("markdown")), header_windows)).alias("h")
     )
     return found.select(*PAGE, F.col("h.line_no").alias("header_line"), "h.window")
 

@@ -59,11 +59,11 @@ def word_counts(pages: DataFrame) -> DataFrame:
 
 def tabular_tokens(pages: DataFrame) -> DataFrame:
     """Words of each page, and how many of them are shaped like a table cell."""
-    tokens = words(F.col("markdown"))
-    return pages.select(
+    tokens = pages.select(*PAGE, F.explode(F.array(words(F.col("markdown")))).alias("tokens"))
+    return tokens.select(
         *PAGE,
-        F.size(tokens).alias("n_tokens"),
-        F.size(F.filter(tokens, L.looks_like_tabular)).alias("n_tabular"),
+        F.size("tokens").alias("n_tokens"),
+        F.size(F.filter("tokens", L.looks_like_tabular)).alias("n_tabular"),
     )
 
 

@@ -35,15 +35,14 @@ def _may_hold_elements(line: Column) -> Column:
 
 
 def page_hits(lines: Column, patterns: dict[str, str] = P.ELEMENT_PATTERNS) -> Column:
-    """Lines with at least one value: ``array<struct<line_no, elements>>``."""
-    hits = F.transform(
-        lines,
-        lambda line, i: F.struct(
-            i.alias("line_no"),
-            let(strip(line), lambda s: line_elements(s, patterns)).alias("elements"),
-        ),
+    """Stripped lines with at least one value: ``array<struct<line_no, line>>``."""
+    any_value = "|".join(f"(?:{p})" for p in patterns.values())
+    stripped = F.transform(
+        lines, lambda line, i: F.struct(i.alias("line_no"), strip(line).alias("line"))
+    )
+    return F.filter(
+        stripped, lambda x: _may_hold_elements(x["line"]) & x["line"].rlike(any_value)
     )
-    return F.filter(hits, lambda h: F.size(h["elements"]) > 0)
 
 
 def sessions(hits: Column) -> Column:
@@ -71,7 +70,17 @@ def sessions(hits: Column) -> Column:
     return let(let(hits, kept), lambda g: F.when(F.size(g) >= 2, g))
 
 
-def session_columns(groups: Column) -> Column:
+def session_elements(
+    groups: Column, patterns: dict[str, str] = P.ELEMENT_PATTERNS
+) -> Column:
+    """The typed values of each group: ``array<array<struct<type, value>>>``."""
+    return F.transform(
+        groups,
+        lambda g: F.flatten(F.transform(g, lambda x: line_elements(x["line"], patterns))),
+    )
+
+
+def session_columns(elements: Column) -> Column:
     """Columns of the rebuilt table: ``array<struct<type, name>>``.
 
     Types found, in alphabetical order of type; when positive and negative amounts both
@@ -90,37 +99,39 @@ def session_columns(groups: Column) -> Column:
         ends = [F.when(both, entry(t, n)) for t, n in paired.items()]
         return F.filter(F.array(*single, *ends), lambda c: c.isNotNull())
 
-    types = F.transform(
-        F.flatten(F.transform(F.flatten(groups), lambda h: h["elements"])), lambda e: e["type"]
-    )
-    return let(F.array_distinct(types), columns)
+    types = F.array_distinct(F.transform(F.flatten(elements), lambda e: e["type"]))
+    return let(types, columns)
 
 
-def session_row(group: Column, columns: Column) -> Column:
+def session_row(elements: Column, columns: Column) -> Column:
     """Cells of one group: the values of each type joined by ``' | '``."""
-    values = F.flatten(F.transform(group, lambda h: h["elements"]))
-    return let(
-        values,
-        lambda found: F.transform(
-            columns,
-            lambda c: F.array_join(
-                F.transform(
-                    F.filter(found, lambda e: e["type"] == c["type"]), lambda e: e["value"]
-                ),
-                " | ",
+    return F.transform(
+        columns,
+        lambda c: F.array_join(
+            F.transform(
+                F.filter(elements, lambda e: e["type"] == c["type"]), lambda e: e["value"]
             ),
+            " | ",
         ),
     )
 
 
 def scattered_parts(lines: Column, patterns: dict[str, str] = P.ELEMENT_PATTERNS) -> Column:
-    """``struct<groups, columns>`` of a page; null when there is no such table."""
-    return let(
-        sessions(page_hits(lines, patterns)),
-        lambda g: F.when(
-            g.isNotNull(), F.struct(g.alias("groups"), session_columns(g).alias("columns"))
-        ),
-    )
+    """``struct<groups, elements, columns>`` of a page; null when there is no such table.
+
+    Values are extracted only once the page is known to have enough groups.
+    """
+
+    def parts(groups: Column) -> Column:
+        found = let(
+            session_elements(groups, patterns),
+            lambda e: F.struct(
+                groups.alias("groups"), e.alias("elements"), session_columns(e).alias("columns")
+            ),
+        )
+        return F.when(groups.isNotNull(), found)
+
+    return let(sessions(page_hits(lines, patterns)), parts)
 
 
 def scattered_table(lines: Column, patterns: dict[str, str] = P.ELEMENT_PATTERNS) -> Column:
@@ -128,7 +139,7 @@ def scattered_table(lines: Column, patterns: dict[str, str] = P.ELEMENT_PATTERNS
 
     def table(parts: Column) -> Column:
         header = F.transform(parts["columns"], lambda c: c["name"])
-        rows = F.transform(parts["groups"], lambda g: session_row(g, parts["columns"]))
+        rows = F.transform(parts["elements"], lambda e: session_row(e, parts["columns"]))
         return F.when(parts.isNotNull(), F.concat(F.array(header), rows))
 
     return let(scattered_parts(lines, patterns), table)
@@ -173,11 +184,11 @@ def scattered_headers(pages: DataFrame, patterns: dict[str, str] = P.ELEMENT_PAT
 def scattered_rows(pages: DataFrame, patterns: dict[str, str] = P.ELEMENT_PATTERNS) -> DataFrame:
     """One row per group with the page's columns and the group's cells."""
     groups = _page_parts(pages, patterns).select(
-        *PAGE, F.col("p.columns").alias("columns"), F.posexplode("p.groups").alias("pos", "g")
+        *PAGE, F.col("p.columns").alias("columns"), F.posexplode("p.elements").alias("pos", "e")
     )
     return groups.select(
         *PAGE,
         (F.col("pos") + 1).alias("row_no"),
         F.col("columns.name").alias("header"),
-        session_row(F.col("g"), F.col("columns")).alias("cells"),
+        session_row(F.col("e"), F.col("columns")).alias("cells"),
     )

@@ -14,6 +14,7 @@ from pagegrid.operators.evaluation import combo_sample_grid
 from pagegrid.operators.ranking import explode_range
 from pagegrid.operators.routing import plan_chunks
 from pagegrid.operators.search import FOCUSED_SPREAD, params_with_defaults
+from pagegrid.sources.readers import spread
 
 COMBOS = 6
 FOLDS = 5
@@ -36,16 +37,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """A table whose rows become pages."""
+    return spread(table(spark, sf_dir, name), *keys)
+
+
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document is one page."""
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id").select(
         "doc_id", F.lit(1).alias("page_no"), F.col("text").alias("markdown")
     )
 
 
 def conv_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation is a document, every turn a page."""
-    return table(spark, sf_dir, "conversations").select(
+    return texts(spark, sf_dir, "conversations", "conv_id", "turn").select(
         F.col("conv_id").alias("doc_id"),
         (F.col("turn") + 1).cast("int").alias("page_no"),
         F.col("text").alias("markdown"),
@@ -54,7 +60,7 @@ def conv_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every web page is a page, markup included."""
-    return table(spark, sf_dir, "pages").select(
+    return texts(spark, sf_dir, "pages", "page_id").select(
         F.col("page_id").alias("doc_id"), F.lit(1).alias("page_no"), F.col("html").alias("markdown")
     )
 
@@ -122,7 +128,7 @@ def invoice_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("Thank you"), F.coalesce(again, F.lit(""))),
         ),
     )
-    return table(spark, sf_dir, "orders").select(
+    return texts(spark, sf_dir, "orders", "o_orderkey").select(
         div(key, 2).alias("doc_id"),
         (key % 2 + 1).cast("int").alias("page_no"),
         F.array_join(lines, "\n").alias("markdown"),
@@ -147,7 +153,7 @@ def scattered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.concat_ws("\n", *lines), F.repeat(F.lit("\n"), ((key + g) % 3).cast("int")))
 
     groups = F.transform(F.sequence(F.lit(0), (customer % 4).cast("int")), group)
-    return table(spark, sf_dir, "orders").select(
+    return texts(spark, sf_dir, "orders", "o_orderkey").select(
         div(key, 4).alias("doc_id"),
         (key % 4 + 1).cast("int").alias("page_no"),
         F.concat(F.lit("# Ledger\n"), F.array_join(groups, "\n")).alias("markdown"),
@@ -160,7 +166,7 @@ def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.split("text", "\n\n"),
         lambda p, i: F.struct(i.alias("index"), p.alias("markdown")),
     )
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id").select(
         "doc_id", F.to_json(F.struct(pages.alias("pages"))).alias("json")
     )
 
@@ -172,7 +178,7 @@ def annotated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda l: F.struct(F.transform(F.split(l, " "), word).alias("words"))
     block = lambda b: F.struct(F.transform(F.split(b, "\n"), line).alias("lines"))
     blocks = F.transform(F.split("text", "\n\n"), block)
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id").select(
         F.col("doc_id").alias("sample_id"),
         F.array(F.struct(blocks.alias("blocks"))).alias("pages"),
     )
@@ -236,7 +242,7 @@ def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chunk per conversation turn: title and one page, some with a header inside the text."""
     turn = F.col("turn")
     inner = F.when(turn % 3 == 1, "\n## Page 99 appendix").otherwise("")
-    return table(spark, sf_dir, "conversations").select(
+    return texts(spark, sf_dir, "conversations", "conv_id", "turn").select(
         F.col("conv_id").alias("doc_id"),
         (turn + 1).cast("int").alias("chunk_no"),
         F.concat(
@@ -296,7 +302,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ground truth and prediction of every benchmark item and combination but the failing one."""
     key, combo = F.col("item_id"), F.col("combo_id")
-    return combo_sample_grid(table(spark, sf_dir, "benchmark"), COMBOS - 1).select(
+    return combo_sample_grid(texts(spark, sf_dir, "benchmark", "item_id"), COMBOS - 1).select(
         "combo_id",
         key.alias("sample_id"),
         F.col("text").alias("truth"),
@@ -306,7 +312,7 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn and a damaged copy of it."""
-    return table(spark, sf_dir, "conversations").select(
+    return texts(spark, sf_dir, "conversations", "conv_id", "turn").select(
         "conv_id",
         "turn",
         F.col("text").alias("truth"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from pagegrid.functions import patterns as P
-from pagegrid.functions.text import DIGIT_SIGN, SPACE, WHITESPACE
+from pagegrid.functions.text import DIGIT_SIGNS, SPACE, WHITESPACE
 from pagegrid.operators.search import BROAD, DEFAULTS, FOCUSED_LISTS, FOCUSED_SPREAD
 from pagegrid.plans.derived import ATTEMPT_LOGS, COMBOS, FOLDS, PER_FOLD
 
@@ -40,7 +40,7 @@ def _with(*parts: str) -> str:
 NL = "chr(10)"
 WS = _text(WHITESPACE)
 NOT_SPACE = f"'[^{_re2(SPACE)}]+'"
-DIGITS = _re2(DIGIT_SIGN)
+DIGITS = _re2(DIGIT_SIGNS)
 NO_WORD = r"[^\p{L}\p{N}_]"
 
 PAGE_NO = "doc_id page_no"

@@ -15,6 +15,18 @@ GROUND_TRUTH = (
 )
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Give a scan with fewer splits than cores one partition per core.
+
+    Text work is heavy per row, so a small file read as one split would keep one core busy.
+    A large input has more splits than cores and is returned as it is, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores, *keys)
+
+
 def _stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*\z", "")
 
