@@ -160,14 +160,25 @@ def fold_scores(scores: DataFrame, assigned: DataFrame) -> DataFrame:
     )
 
 
-def cv_scores(folds: DataFrame) -> DataFrame:
-    """Mean and population deviation of the fold means of each combination."""
+def _cv_stats() -> list[Column]:
     stats = [
         f(m).alias(f"{label}_{m}")
         for m in ("cer", "wer", "confidence")
         for label, f in (("mean", F.avg), ("std", F.stddev_pop))
     ]
-    return folds.groupBy("combo_id").agg(*stats, F.count("*").alias("fold_count"))
+    return [*stats, F.count("*").alias("fold_count")]
+
+
+def cv_scores(folds: DataFrame) -> DataFrame:
+    """Mean and population deviation of the fold means of each combination."""
+    return folds.groupBy("combo_id").agg(*_cv_stats())
+
+
+def cv_results(folds: DataFrame) -> DataFrame:
+    """``cv_scores`` with the list of fold results, which is as long as there are folds."""
+    fields = [c for c in folds.columns if c != "combo_id"]
+    listed = F.sort_array(F.collect_list(F.struct(*fields))).alias("fold_results")
+    return folds.groupBy("combo_id").agg(*_cv_stats(), listed)
 
 
 def best_combo(scores: DataFrame, metric: str = "mean_cer") -> DataFrame:
@@ -201,7 +212,7 @@ def document_text(pages: DataFrame, pages_per_part: int = 64) -> DataFrame:
     part = div(F.col("page_no") - 1, pages_per_part).alias("part_no")
     joined = F.array_join(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("page_no", "markdown"))),
+            F.sort_array(F.collect_list(F.struct("page_no", "markdown"))),
             lambda p: p["markdown"],
         ),
         "\n",

@@ -123,7 +123,7 @@ def ledger_rows(window: Column, phrases: list[str] = P.STOP_PHRASES) -> Column:
     def rows(hits: Column) -> Column:
         return let(
             money_lines(window),
-            lambda money: F.array_sort(
+            lambda money: F.sort_array(
                 F.transform(
                     F.array_distinct(F.transform(hits, lambda h: h["no"])),
                     lambda no, j: row(no, j, hits, money),

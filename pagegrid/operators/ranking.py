@@ -54,7 +54,7 @@ def first_rows(rows: DataFrame, id_column: str, count: int) -> DataFrame:
 def block_running_sum(
     rows: DataFrame, key: str, order: str, value: str, block: int = 1000
 ) -> DataFrame:
-    """Add ``sum_before``, the sum of ``value`` over earlier rows of the key, and ``key_rows``.
+    """Add ``sum_before`` and ``rows_before``, over earlier rows of the key, and ``key_rows``.
 
     A key's rows are cut into blocks of consecutive ``order`` values (unique per key), so
     one huge key is summed by many tasks. ``block_no`` is kept for further work per block.
@@ -68,17 +68,22 @@ def block_running_sum(
     blocks = sums.select(
         key,
         "block_no",
-        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"),
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_sum_offset"),
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_row_offset"),
         F.sum("_rows").over(whole).alias("key_rows"),
     )
-    inside = (
-        Window.partitionBy(key, "block_no")
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = F.col("_offset") + F.coalesce(F.sum(value).over(inside), F.lit(0))
+    inside = Window.partitionBy(key, "block_no").orderBy(order)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.join(blocks, [key, "block_no"]).withColumn("sum_before", before).drop("_offset")
+        rows.join(blocks, [key, "block_no"])
+        .withColumns(
+            {
+                "sum_before": F.col("_sum_offset")
+                + F.coalesce(F.sum(value).over(before), F.lit(0)),
+                "rows_before": F.col("_row_offset") + F.row_number().over(inside) - 1,
+            }
+        )
+        .drop("_sum_offset", "_row_offset")
     )
 
 

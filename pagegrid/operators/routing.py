@@ -71,12 +71,11 @@ def failed_chunks(plan: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def chunk_offsets(results: DataFrame) -> DataFrame:
-    """Successful chunks with the pages of earlier successful ones (at most 11 per document)."""
-    earlier = (
-        Window.partitionBy("doc_id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    """Successful chunks with the number of pages in earlier successful ones."""
     done = results.filter("status = 'ok'")
-    return done.withColumn("page_offset", F.coalesce(F.sum("pages").over(earlier), F.lit(0)))
+    return block_running_sum(done, "doc_id", "chunk_no", "pages").withColumnRenamed(
+        "sum_before", "page_offset"
+    )
 
 
 def global_pages(results: DataFrame) -> DataFrame:
@@ -116,7 +115,8 @@ def renumber_headers(chunks: DataFrame) -> DataFrame:
 
     Input ``(doc_id, chunk_no, markdown)``. Chunk titles go, every header line counts even
     inside page content. The text stays one part per chunk; the parts in chunk order,
-    concatenated, are the combined file.
+    concatenated, are the combined file. Headers are counted per chunk and the counts summed
+    in blocks, so a document of any length is renumbered by many tasks.
     """
     title = rf"\A{DOCUMENT_TITLE}[^\n]*(?:\n[^\n]*)?(?:\n|\z)"
     titled = F.col("markdown").startswith(DOCUMENT_TITLE)
@@ -127,22 +127,15 @@ def renumber_headers(chunks: DataFrame) -> DataFrame:
         F.regexp_replace("markdown", title, "").alias("body"),
     )
     counted = bodies.withColumn("n_headers", F.regexp_count("body", F.lit(PAGE_HEADER)))
-    order = Window.partitionBy("doc_id").orderBy("chunk_no")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    numbered = counted.withColumns(
-        {
-            "offset": F.coalesce(F.sum("n_headers").over(earlier), F.lit(0)),
-            "part": F.row_number().over(order),
-        }
-    )
+    numbered = block_running_sum(counted, "doc_id", "chunk_no", "n_headers", block=16)
     pieces = F.split(F.col("body"), PAGE_HEADER)
     header = lambda piece, i: F.concat(
-        F.lit("## Page "), (F.col("offset") + i).cast("string"), piece
+        F.lit("## Page "), (F.col("sum_before") + i).cast("string"), piece
     )
     text = F.array_join(
         F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(header(p, i))), ""
     )
-    lead = F.when(F.col("part") == 1, DOCUMENT_TITLE + "\n\n").otherwise("\n")
+    lead = F.when(F.col("rows_before") == 0, DOCUMENT_TITLE + "\n\n").otherwise("\n")
     return numbered.select("doc_id", "chunk_no", F.concat(lead, text).alias("markdown"))
 
 
@@ -184,15 +177,25 @@ def retry_delay(attempt: Column) -> Column:
 
 
 def retry_outcomes(attempts: DataFrame) -> DataFrame:
-    """Final state, attempts and waiting time of each request in an attempt log."""
-    classed = attempt_classes(attempts)
-    final = F.max_by("class", "attempt")
-    delay = F.when(F.col("class") == "retry", retry_delay(F.col("attempt")))
-    out = classed.groupBy("request_id").agg(
-        final.alias("last_class"),
-        F.count("*").alias("attempts"),
-        F.coalesce(F.sum(delay.cast("bigint")), F.lit(0)).alias("delay_seconds"),
-    )
-    exhausted = (F.col("last_class") == "retry") & (F.col("attempts") >= MAX_ATTEMPTS)
-    outcome = F.when(exhausted, "exhausted").otherwise(F.col("last_class"))
+    """Final state, attempts and waiting time of each request in an attempt log.
+
+    The last class is carried as the low digit of the largest attempt number, which keeps
+    the aggregate on fixed-width values.
+    """
+    classes = ["ok", "too_large", "retry", "fatal"]
+    names = F.array(*[F.lit(c) for c in classes])
+    code = F.array_position(names, F.col("class")) - 1
+    delay = F.when(F.col("class") == "retry", retry_delay(F.col("attempt"))).otherwise(0)
+    out = (
+        attempt_classes(attempts)
+        .groupBy("request_id")
+        .agg(
+            F.max(F.col("attempt") * len(classes) + code).alias("last"),
+            F.count("*").alias("attempts"),
+            F.sum(delay.cast("bigint")).alias("delay_seconds"),
+        )
+    )
+    last_class = F.get(names, (F.col("last") % len(classes)).cast("int"))
+    exhausted = (last_class == "retry") & (F.col("attempts") >= MAX_ATTEMPTS)
+    outcome = F.when(exhausted, "exhausted").otherwise(last_class)
     return out.select("request_id", outcome.alias("outcome"), "attempts", "delay_seconds")

@@ -175,7 +175,7 @@ def full_grid(
         F.sequence(F.lit(0), F.lit(total - 1)),
         lambda i: F.struct(seeded_key(F.col("set_id"), i, seed).alias("key"), i.alias("i")),
     )
-    drawn = F.transform(F.slice(F.array_sort(keyed), 1, count), lambda k: k["i"])
+    drawn = F.transform(F.slice(F.sort_array(keyed), 1, count), lambda k: k["i"])
     index = F.explode(drawn if count < total else F.sequence(F.lit(0), F.lit(total - 1)))
     picked, stride = [], total
     for name, r in ranges.items():

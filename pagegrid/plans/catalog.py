@@ -144,10 +144,8 @@ def _best_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folds = _fold_scores(spark, sf_dir)
-    return plain(
-        writers.tuning_report(evaluation.cv_scores(folds), _combos(spark, sf_dir), folds)
-    )
+    results = evaluation.cv_results(_fold_scores(spark, sf_dir))
+    return plain(writers.tuning_report(results, _combos(spark, sf_dir)))
 
 
 def _document_folds(documents: DataFrame) -> DataFrame:

@@ -42,6 +42,15 @@ def texts(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
     return spread(table(spark, sf_dir, name), *keys)
 
 
+def _once(value: Column) -> Column:
+    """Build a derived text once per row, however often it is read afterwards.
+
+    A stored column needs no such barrier; a computed one would be copied into every filter
+    and projection above it.
+    """
+    return F.explode(F.array(value))
+
+
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document is one page."""
     return texts(spark, sf_dir, "documents", "doc_id").select(
@@ -51,7 +60,7 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conv_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation is a document, every turn a page."""
-    return texts(spark, sf_dir, "conversations", "conv_id", "turn").select(
+    return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("doc_id"),
         (F.col("turn") + 1).cast("int").alias("page_no"),
         F.col("text").alias("markdown"),
@@ -131,7 +140,7 @@ def invoice_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, "orders", "o_orderkey").select(
         div(key, 2).alias("doc_id"),
         (key % 2 + 1).cast("int").alias("page_no"),
-        F.array_join(lines, "\n").alias("markdown"),
+        _once(F.array_join(lines, "\n")).alias("markdown"),
     )
 
 
@@ -156,7 +165,7 @@ def scattered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, "orders", "o_orderkey").select(
         div(key, 4).alias("doc_id"),
         (key % 4 + 1).cast("int").alias("page_no"),
-        F.concat(F.lit("# Ledger\n"), F.array_join(groups, "\n")).alias("markdown"),
+        _once(F.concat(F.lit("# Ledger\n"), F.array_join(groups, "\n"))).alias("markdown"),
     )
 
 
@@ -167,7 +176,7 @@ def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda p, i: F.struct(i.alias("index"), p.alias("markdown")),
     )
     return texts(spark, sf_dir, "documents", "doc_id").select(
-        "doc_id", F.to_json(F.struct(pages.alias("pages"))).alias("json")
+        "doc_id", _once(F.to_json(F.struct(pages.alias("pages")))).alias("json")
     )
 
 
@@ -214,12 +223,12 @@ def page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.repeat(F.lit("total\n"), (customer % 8).cast("int")),
         F.concat_ws(" ", F.lit("order"), _text(key), F.lit("is"), F.col("o_orderstatus")),
     )
-    return table(spark, sf_dir, "orders").select(
+    return texts(spark, sf_dir, "orders", "o_orderkey").select(
         key.alias("doc_id"),
         F.lit(1).alias("page_no"),
         (key % 60 / 1000.0).alias("edge_density"),
         (div(key, 60) % 12 / 1000.0).alias("line_density"),
-        text.alias("text"),
+        _once(text).alias("text"),
     )
 
 
@@ -242,7 +251,7 @@ def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chunk per conversation turn: title and one page, some with a header inside the text."""
     turn = F.col("turn")
     inner = F.when(turn % 3 == 1, "\n## Page 99 appendix").otherwise("")
-    return texts(spark, sf_dir, "conversations", "conv_id", "turn").select(
+    return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("doc_id"),
         (turn + 1).cast("int").alias("chunk_no"),
         F.concat(
@@ -325,7 +334,7 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A baseline per part; some parameters are missing."""
     size = F.col("p_size")
-    return table(spark, sf_dir, "part").select(
+    return texts(spark, sf_dir, "part", "p_partkey").select(
         F.col("p_partkey").alias("set_id"),
         F.when(size % 5 != 0, 2.0 + size / 50.0).alias("table_contrast_factor"),
         F.when(size % 3 != 0, 0.5 + size / 200.0).alias("table_brightness_factor"),

@@ -7,7 +7,7 @@ document's file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegrid.functions.text import div
@@ -31,7 +31,7 @@ def document_markdown(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) ->
         p["markdown"],
         F.lit("\n\n---\n\n"),
     )
-    collected = F.array_sort(F.collect_list(F.struct("page_no", "markdown")))
+    collected = F.sort_array(F.collect_list(F.struct("page_no", "markdown")))
     parts = pages.groupBy("doc_id", _part_no(pages_per_part)).agg(
         F.array_join(F.transform(collected, section), "").alias("sections")
     )
@@ -43,7 +43,7 @@ def ocr_json_parts(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -> Da
     """``(doc_id, part_no, pages)`` with the pages of a part in order."""
     entry = F.struct(F.col("page_no").alias("page_number"), F.col("markdown"))
     return pages.groupBy("doc_id", _part_no(pages_per_part)).agg(
-        F.array_sort(F.collect_list(entry)).alias("pages")
+        F.sort_array(F.collect_list(entry)).alias("pages")
     )
 
 
@@ -80,33 +80,35 @@ def write_page_csv(pages: DataFrame, path: str, per_file: bool = False) -> None:
 
 
 def tuning_report(
-    scores: DataFrame, params: DataFrame, folds: DataFrame | None = None, metric: str = "mean_cer"
+    results: DataFrame, params: DataFrame, metric: str = "mean_cer"
 ) -> DataFrame:
-    """``(section, combo_id, report)``: one summary and one result per combination, as JSON.
+    """``(section, combo_id, report)``: a result per combination and one summary, as JSON.
 
-    ``folds`` adds the list of fold results to every combination; it is as long as there
-    are folds.
+    ``results`` is ``combo_scores``, ``cv_scores`` or ``cv_results``. It is read once: the
+    combinations, few as they are, are ranked in one task and the first one also yields the
+    summary.
     """
-    results = scores
-    if folds is not None:
-        fields = [c for c in folds.columns if c != "combo_id"]
-        lists = folds.groupBy("combo_id").agg(
-            F.array_sort(F.collect_list(F.struct(*fields))).alias("fold_results")
-        )
-        results = results.join(lists, "combo_id", "left")
     names = [c for c in params.columns if c not in ("combo_id", "set_id")]
-    params = params.select("combo_id", F.struct(*names).alias("parameters"))
-    results = results.join(params, "combo_id", "left")
-    body = F.to_json(F.struct(*[c for c in results.columns if c != "combo_id"]))
-    rows = results.select(F.lit("result").alias("section"), "combo_id", body.alias("report"))
-    best = best_combo(scores, metric).join(params, "combo_id", "left")
-    total = scores.agg(F.count("*")).scalar()
-    head = best.withColumn("total_combinations_tested", total)
-    fields = [c for c in head.columns if c != "combo_id"]
-    summary = head.select(
-        F.lit("summary").alias("section"), "combo_id", F.to_json(F.struct(*fields)).alias("report")
+    settings = params.select("combo_id", F.struct(*names).alias("parameters"))
+    metrics = [c for c in results.columns if c != "combo_id"]
+    order = Window.orderBy(F.round(metric, 12), "combo_id")
+    ranked = results.join(settings, "combo_id", "left").withColumns(
+        {
+            "place": F.row_number().over(order),
+            "total_combinations_tested": F.count("*").over(Window.partitionBy()),
+        }
+    )
+    fields = [*metrics, "parameters"]
+    scalars = [c for c in fields if c != "fold_results"]
+    entry = lambda section, columns: F.struct(
+        F.lit(section).alias("section"), F.to_json(F.struct(*columns)).alias("report")
+    )
+    result = entry("result", fields)
+    summary = entry("summary", ["total_combinations_tested", *scalars])
+    sections = F.when(F.col("place") == 1, F.array(summary, result)).otherwise(F.array(result))
+    return ranked.select("combo_id", F.explode(sections).alias("s")).select(
+        "s.section", "combo_id", "s.report"
     )
-    return summary.unionByName(rows)
 
 
 def best_params_kv(scores: DataFrame, params: DataFrame, metric: str = "mean_cer") -> DataFrame:
