@@ -19,6 +19,9 @@ ELEMENT_PATTERNS = {
     "codes": rf"{_AT_CAPITAL}[A-Z]{{1,3}}{DIGIT}{{2,6}}[A-Z]?{WORD_END}",
 }
 
+# A character that every match of the type contains; lines without it skip the pattern.
+ELEMENT_MARKS = {"amounts": ".", "negative_amounts": "-", "dates": "/", "references": "*"}
+
 # Column name shown for each element type, in alphabetical type order.
 ELEMENT_HEADERS = {
     "amounts": "Amount",
@@ -29,6 +32,13 @@ ELEMENT_HEADERS = {
     "references": "Reference",
 }
 
+
+
+def element_header(element_type: str) -> str:
+    """Column name of an element type; a type of one's own is shown in title case."""
+    return ELEMENT_HEADERS.get(element_type, element_type.title())
+
+
 # Column profile of a document.
 PROFILE_PATTERNS = {
     "numeric": rf"{_AT_DIGIT}{DIGIT}+(?:\.{DIGIT}+)?{WORD_END}",

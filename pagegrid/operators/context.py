@@ -25,13 +25,16 @@ def row_signature(cells: Column) -> Column:
 
 
 def is_related(signature: Column, line: Column) -> Column:
-    """More than half of the one to three signature parts occur in the line."""
-    found = [
-        F.when(line.contains(F.get(signature, F.lit(i))), 1).otherwise(0)
-        for i in range(SIGNATURE_PARTS)
+    """More than half of the one to three signature parts occur in the line.
+
+    That is the only part, both of two, or any two of three; a missing part is null and
+    never makes the test true.
+    """
+    first, second, third = [
+        line.contains(F.get(signature, F.lit(i))) for i in range(SIGNATURE_PARTS)
     ]
-    need = F.when(F.size(signature) > 1, 2).otherwise(1)
-    return found[0] + found[1] + found[2] >= need
+    two = (first & (second | third)) | (second & third)
+    return F.when(F.size(signature) == 1, first).otherwise(two)
 
 
 def line_candidates(line: Column, row_text: Column) -> Column:

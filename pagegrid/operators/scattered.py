@@ -14,19 +14,29 @@ from pagegrid.functions.text import DIGIT, find_all, let, lines_of, strip
 from pagegrid.operators.pages import PAGE, page_lines
 
 MAX_GAP = 2
+PAIR = {"amounts", "negative_amounts"}
 _ELEMENTS = "array<struct<type:string,value:string>>"
 
 
+def _guarded(text: Column, name: str, patterns: dict[str, str]) -> Column:
+    """Matches of one pattern; texts without a character every match holds are skipped."""
+    found = find_all(text, patterns[name])
+    if patterns is not P.ELEMENT_PATTERNS or name not in P.ELEMENT_MARKS:
+        return found
+    none = F.array().cast("array<string>")
+    return F.when(text.contains(P.ELEMENT_MARKS[name]), found).otherwise(none)
+
+
 def line_elements(line: Column, patterns: dict[str, str] = P.ELEMENT_PATTERNS) -> Column:
     """Typed values of a stripped line in pattern order, then left to right."""
 
-    def typed(name: str, pattern: str) -> Column:
+    def typed(name: str) -> Column:
         return F.transform(
-            find_all(line, pattern),
+            _guarded(line, name, patterns),
             lambda v: F.struct(F.lit(name).alias("type"), v.alias("value")),
         )
 
-    found = F.concat(*[typed(name, p) for name, p in patterns.items()])
+    found = F.concat(*[typed(name) for name in patterns])
     return F.when(_may_hold_elements(line), found).otherwise(F.array().cast(_ELEMENTS))
 
 
@@ -70,63 +80,63 @@ def sessions(hits: Column) -> Column:
     return let(let(hits, kept), lambda g: F.when(F.size(g) >= 2, g))
 
 
-def session_elements(
-    groups: Column, patterns: dict[str, str] = P.ELEMENT_PATTERNS
-) -> Column:
-    """The typed values of each group: ``array<array<struct<type, value>>>``."""
-    return F.transform(
-        groups,
-        lambda g: F.flatten(F.transform(g, lambda x: line_elements(x["line"], patterns))),
-    )
+def session_values(groups: Column, patterns: dict[str, str] = P.ELEMENT_PATTERNS) -> Column:
+    """Values of each group, one array per pattern in pattern order.
+
+    The lines of a group are joined by newlines, which no pattern crosses, and searched
+    once per pattern.
+    """
 
+    def values(text: Column) -> Column:
+        return F.array(*[_guarded(text, name, patterns) for name in patterns])
 
-def session_columns(elements: Column) -> Column:
-    """Columns of the rebuilt table: ``array<struct<type, name>>``.
+    joined = lambda g: F.array_join(F.transform(g, lambda x: x["line"]), "\n")
+    return F.transform(groups, lambda g: let(joined(g), values))
+
+
+def session_columns(values: Column, patterns: dict[str, str] = P.ELEMENT_PATTERNS) -> Column:
+    """Columns of the rebuilt table: ``array<struct<place, name>>``.
 
     Types found, in alphabetical order of type; when positive and negative amounts both
-    occur they move to the end as Debit and Credit.
+    occur they move to the end as Debit and Credit. ``place`` is the pattern's position.
     """
-
-    def columns(types: Column) -> Column:
-        has = lambda t: F.array_contains(types, t)
-        both = has("amounts") & has("negative_amounts")
-        paired = {"amounts": "Debit", "negative_amounts": "Credit"}
-        entry = lambda t, n: F.struct(F.lit(t).alias("type"), F.lit(n).alias("name"))
+    place = {t: i for i, t in enumerate(patterns)}
+    paired = {"amounts": "Debit", "negative_amounts": "Credit"} if PAIR <= set(patterns) else {}
+    occurs = lambda i: F.exists(values, lambda v: F.size(v[i]) > 0)
+    found = F.array(*[occurs(i) for i in place.values()])
+
+    def columns(found: Column) -> Column:
+        has = lambda t: found[place[t]]
+        both = has("amounts") & has("negative_amounts") if paired else F.lit(False)
+        entry = lambda t, n: F.struct(F.lit(place[t]).alias("place"), F.lit(n).alias("name"))
         single = [
-            F.when(has(t) & ~both if t in paired else has(t), entry(t, n))
-            for t, n in P.ELEMENT_HEADERS.items()
+            F.when(has(t) & ~both if t in paired else has(t), entry(t, P.element_header(t)))
+            for t in sorted(patterns)
         ]
         ends = [F.when(both, entry(t, n)) for t, n in paired.items()]
         return F.filter(F.array(*single, *ends), lambda c: c.isNotNull())
 
-    types = F.array_distinct(F.transform(F.flatten(elements), lambda e: e["type"]))
-    return let(types, columns)
+    return let(found, columns)
 
 
-def session_row(elements: Column, columns: Column) -> Column:
+def session_row(values: Column, columns: Column) -> Column:
     """Cells of one group: the values of each type joined by ``' | '``."""
-    return F.transform(
-        columns,
-        lambda c: F.array_join(
-            F.transform(
-                F.filter(elements, lambda e: e["type"] == c["type"]), lambda e: e["value"]
-            ),
-            " | ",
-        ),
-    )
+    return F.transform(columns, lambda c: F.array_join(F.get(values, c["place"]), " | "))
 
 
 def scattered_parts(lines: Column, patterns: dict[str, str] = P.ELEMENT_PATTERNS) -> Column:
-    """``struct<groups, elements, columns>`` of a page; null when there is no such table.
+    """``struct<groups, values, columns>`` of a page; null when there is no such table.
 
     Values are extracted only once the page is known to have enough groups.
     """
 
     def parts(groups: Column) -> Column:
         found = let(
-            session_elements(groups, patterns),
-            lambda e: F.struct(
-                groups.alias("groups"), e.alias("elements"), session_columns(e).alias("columns")
+            session_values(groups, patterns),
+            lambda v: F.struct(
+                groups.alias("groups"),
+                v.alias("values"),
+                session_columns(v, patterns).alias("columns"),
             ),
         )
         return F.when(groups.isNotNull(), found)
@@ -139,7 +149,7 @@ def scattered_table(lines: Column, patterns: dict[str, str] = P.ELEMENT_PATTERNS
 
     def table(parts: Column) -> Column:
         header = F.transform(parts["columns"], lambda c: c["name"])
-        rows = F.transform(parts["elements"], lambda e: session_row(e, parts["columns"]))
+        rows = F.transform(parts["values"], lambda v: session_row(v, parts["columns"]))
         return F.when(parts.isNotNull(), F.concat(F.array(header), rows))
 
     return let(scattered_parts(lines, patterns), table)
@@ -184,11 +194,11 @@ def scattered_headers(pages: DataFrame, patterns: dict[str, str] = P.ELEMENT_PAT
 def scattered_rows(pages: DataFrame, patterns: dict[str, str] = P.ELEMENT_PATTERNS) -> DataFrame:
     """One row per group with the page's columns and the group's cells."""
     groups = _page_parts(pages, patterns).select(
-        *PAGE, F.col("p.columns").alias("columns"), F.posexplode("p.elements").alias("pos", "e")
+        *PAGE, F.col("p.columns").alias("columns"), F.posexplode("p.values").alias("pos", "v")
     )
     return groups.select(
         *PAGE,
         (F.col("pos") + 1).alias("row_no"),
         F.col("columns.name").alias("header"),
-        session_row(F.col("e"), F.col("columns")).alias("cells"),
+        session_row(F.col("v"), F.col("columns")).alias("cells"),
     )
