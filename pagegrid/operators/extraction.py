@@ -52,10 +52,24 @@ def page_tables(text: Column, methods=METHODS, noise: list[str] = P.NOISE_CELLS)
     return F.filter(found, lambda t: C.is_meaningful(t["rows"], noise))
 
 
+def page_results(pages: DataFrame, methods=METHODS, noise=P.NOISE_CELLS) -> DataFrame:
+    """``(doc_id, page_no, tables)``, every page kept. Map-only.
+
+    Write this once when several results are wanted: the operators below accept it in
+    place of pages and then extract nothing again.
+    """
+    found = page_tables(F.col("markdown"), methods, noise)
+    return pages.select(*PAGE, F.explode(F.array(found)).alias("tables"))
+
+
+def _results(pages: DataFrame, *settings) -> DataFrame:
+    return pages if "tables" in pages.columns else page_results(pages, *settings)
+
+
 def extract_page_tables(pages: DataFrame, methods=METHODS, noise=P.NOISE_CELLS) -> DataFrame:
     """One row per table: ``(doc_id, page_no, table_no, method, rows)``. Map-only."""
-    tables = pages.select(
-        *PAGE, F.posexplode(page_tables(F.col("markdown"), methods, noise)).alias("pos", "t")
+    tables = _results(pages, methods, noise).select(
+        *PAGE, F.posexplode("tables").alias("pos", "t")
     )
     return tables.select(*PAGE, (F.col("pos") + 1).alias("table_no"), "t.method", "t.rows")
 
@@ -112,19 +126,16 @@ def page_no_from_name(file_name: Column) -> Column:
 def page_csv(pages: DataFrame, name: Column | None = None) -> DataFrame:
     """One CSV text per page with tables: ``(doc_id, page_no, file_name, csv_text)``. Map-only."""
     stem = name if name is not None else F.col("doc_id").cast("string")
-    rows = F.transform(page_tables(F.col("markdown")), lambda t: t["rows"])
-    texts = pages.select(
+    found = _results(pages).filter(F.size("tables") > 0)
+    return found.select(
         *PAGE,
         csv_name(stem, F.col("page_no")).alias("file_name"),
-        F.explode(F.array(C.csv_tables(rows))).alias("csv_text"),
+        C.csv_tables(F.transform("tables", lambda t: t["rows"])).alias("csv_text"),
     )
-    return texts.filter(F.col("csv_text") != "")
 
 
 def _table_counts(pages: DataFrame) -> DataFrame:
-    return pages.select(
-        *PAGE, F.explode(F.array(F.size(page_tables(F.col("markdown"))))).alias("n_tables")
-    )
+    return _results(pages).select(*PAGE, F.size("tables").alias("n_tables"))
 
 
 def run_summary(pages: DataFrame) -> DataFrame:

@@ -195,3 +195,12 @@ def test_missing_row_data(spark):
     assert [(r.row_no, r.missing) for r in rows] == [(1, ["77", "$5.00", "P", "9.5"])]
     related = context.related_lines(page_frame(spark, text)).collect()
     assert sorted(r.line_no for r in related) == [0, 2, 4]
+
+
+def test_results_can_be_reused(spark):
+    df = page_frame(spark, "| a | b |", "none", "Invoice No Type Reference\n11111 I\n| x |y |")
+    results = extraction.page_results(df)
+    assert results.count() == 3
+    for operator in (extraction.extract_tables, extraction.page_csv, extraction.run_summary):
+        again = operator(results)
+        assert sorted(map(str, again.collect())) == sorted(map(str, operator(df).collect()))
