@@ -15,6 +15,7 @@ from pagegrid.operators.pages import PAGE, page_lines
 
 MAX_GAP = 2
 PAIR = {"amounts", "negative_amounts"}
+_NEEDED = rf"[{DIGIT}*]"
 _ELEMENTS = "array<struct<type:string,value:string>>"
 
 
@@ -37,11 +38,15 @@ def line_elements(line: Column, patterns: dict[str, str] = P.ELEMENT_PATTERNS) -
         )
 
     found = F.concat(*[typed(name) for name in patterns])
-    return F.when(_may_hold_elements(line), found).otherwise(F.array().cast(_ELEMENTS))
+    return F.when(_may_hold_elements(line, patterns), found).otherwise(
+        F.array().cast(_ELEMENTS)
+    )
 
 
-def _may_hold_elements(line: Column) -> Column:
-    return ~(line.startswith("#") | line.startswith("**")) & line.rlike(rf"[{DIGIT}*]")
+def _may_hold_elements(line: Column, patterns: dict[str, str]) -> Column:
+    """Not empty, no heading, no bold line; the fixed patterns also need a digit or a star."""
+    kept = (line != "") & ~(line.startswith("#") | line.startswith("**"))
+    return kept & line.rlike(_NEEDED) if patterns is P.ELEMENT_PATTERNS else kept
 
 
 def page_hits(lines: Column, patterns: dict[str, str] = P.ELEMENT_PATTERNS) -> Column:
@@ -51,7 +56,7 @@ def page_hits(lines: Column, patterns: dict[str, str] = P.ELEMENT_PATTERNS) -> C
         lines, lambda line, i: F.struct(i.alias("line_no"), strip(line).alias("line"))
     )
     return F.filter(
-        stripped, lambda x: _may_hold_elements(x["line"]) & x["line"].rlike(any_value)
+        stripped, lambda x: _may_hold_elements(x["line"], patterns) & x["line"].rlike(any_value)
     )
 
 
@@ -155,14 +160,14 @@ def scattered_table(lines: Column, patterns: dict[str, str] = P.ELEMENT_PATTERNS
     return let(scattered_parts(lines, patterns), table)
 
 
-def _pages_with_values(pages: DataFrame) -> DataFrame:
-    return pages.filter(F.col("markdown").rlike(rf"[{DIGIT}*]"))
+def _pages_with_values(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    return pages.filter(F.col("markdown").rlike(_NEEDED)) if patterns is P.ELEMENT_PATTERNS else pages
 
 
 def scattered_elements(pages: DataFrame, patterns: dict[str, str] = P.ELEMENT_PATTERNS) -> DataFrame:
     """One row per typed value; ``position`` is its first index in the stripped line."""
-    lines = page_lines(_pages_with_values(pages)).withColumn("line", strip(F.col("line")))
-    found = lines.filter(_may_hold_elements(F.col("line"))).select(
+    lines = page_lines(_pages_with_values(pages, patterns)).withColumn("line", strip(F.col("line")))
+    found = lines.filter(_may_hold_elements(F.col("line"), patterns)).select(
         *PAGE, "line_no", "line", F.explode(line_elements(F.col("line"), patterns)).alias("e")
     )
     return found.select(
@@ -176,7 +181,7 @@ def scattered_elements(pages: DataFrame, patterns: dict[str, str] = P.ELEMENT_PA
 
 def _page_parts(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
     parts = F.explode(F.array(scattered_parts(lines_of(F.col("markdown")), patterns)))
-    return _pages_with_values(pages).select(*PAGE, parts.alias("p")).filter("p is not null")
+    return _pages_with_values(pages, patterns).select(*PAGE, parts.alias("p")).filter("p is not null")
 
 
 def scattered_groups(pages: DataFrame, patterns: dict[str, str] = P.ELEMENT_PATTERNS) -> DataFrame:

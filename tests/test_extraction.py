@@ -127,6 +127,16 @@ def test_position_is_the_first_occurrence(spark):
     assert [(r.type, r.value, r.position) for r in found] == [("numbers", "234", 2)] * 2
 
 
+def test_own_patterns(spark):
+    patterns = {"mails": r"[a-z]+@[a-z]+", "colours": "red|blue"}
+    text = "me@home red\nblue\n\n\n\nyou@work\nred"
+    rows = scattered.scattered_rows(page_frame(spark, text), patterns).orderBy("row_no").collect()
+    assert [(r.header, r.cells) for r in rows] == [
+        (["Colours", "Mails"], ["red | blue", "me@home"]),
+        (["Colours", "Mails"], ["red", "you@work"]),
+    ]
+
+
 def test_methods_are_an_extension_point(spark):
     def shouting(text):
         rows = F.array(F.array(F.upper(text)))
