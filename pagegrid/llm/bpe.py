@@ -60,13 +60,17 @@ def byte_letters() -> list[str]:
 
 
 class Bpe:
-    """Encoder and decoder of one tokenizer file (its JSON text)."""
+    """Encoder and decoder of one tokenizer file (its JSON text).
 
-    def __init__(self, definition: str) -> None:
+    With ``by_library`` the words that are not cached are merged by the tokenizers library.
+    """
+
+    def __init__(self, definition: str, by_library: bool = False) -> None:
         rules = json.loads(definition)
         model, tokenizer = rules["model"], Tokenizer.from_str(definition)
         if model["type"] != "BPE" or rules["decoder"] is not None:
             raise ValueError("a BPE model without a decoder is expected")
+        self.library = tokenizer.model if by_library else None
         self.normalizer, self.pre_tokenizer = tokenizer.normalizer, tokenizer.pre_tokenizer
         self.ids: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
@@ -132,6 +136,8 @@ class Bpe:
         return [s for s in symbols if s >= 0]
 
     def _encode_letters(self, word: str) -> bytes:
+        if self.library is not None:
+            return np.array([t.id for t in self.library.tokenize(word)], "<u4").tobytes()
         parts = [*word[:-1], word[-1] + self.suffix]
         return np.array(self.merge([self.ids[p] for p in parts if p in self.ids]), "<u4").tobytes()
 
@@ -165,9 +171,9 @@ class Bpe:
 
 
 @functools.lru_cache(maxsize=2)
-def codec(definition: str) -> Bpe:
-    """One codec per worker process and tokenizer file."""
-    return Bpe(definition)
+def codec(definition: str, by_library: bool = False) -> Bpe:
+    """One codec per worker process, tokenizer file and way of merging."""
+    return Bpe(definition, by_library)
 
 
 def definition_of(spark: SparkSession, path: str):

@@ -140,7 +140,7 @@ class Packer:
 
 def _pack(definition, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(definition.value)
+        bpe = codec(definition.value, by_library=True)
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         closing = np.array([CLOSING_ID], "<u4").tobytes()
         for batch in batches:
