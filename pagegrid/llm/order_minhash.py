@@ -161,7 +161,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last half replaced by the start of the next document, in
     descending order of ids; the last one's next is the first. Texts are shuffled once, to
-    blocks of neighbouring ids; only a block's last document asks the head of the next block.
+    blocks of neighbouring ids; the head of the next block is a guest at each block's end.
     """
     bounds = _bounds(docs)
     doc_id = F.col("doc_id").cast("bigint")
@@ -171,30 +171,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         text_of(docs).alias("text"),
         F.when(F.col("doc_id").isNull(), -1).otherwise(block).alias("block"),
     )
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    signed = rows.withColumn("entries", signature(F.col("text")))
-    order = Window.partitionBy("block").orderBy(F.desc("doc_id"), F.desc("tie"))
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("guest", F.lit(False))
+    heads = rows.groupBy("block").agg(F.max(F.struct("doc_id", "tie", "text")).alias("head"))
+    chain = Window.orderBy("block")  # at most BLOCKS + 1 rows
+    whole = chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    asks = F.coalesce(F.lead("block").over(chain), F.first("block").over(whole))
+    guests = heads.select("head.doc_id", "head.text", asks.alias("block"), "head.tie", F.lit(True).alias("guest"))
+    order = Window.partitionBy("block").orderBy("guest", F.desc("doc_id"), F.desc("tie"))
+    signed = rows.unionByName(guests).withColumn("entries", signature(F.col("text")))
     following = signed.select(
         "*",
         F.lead("text").over(order).alias("next_text"),
         F.lead("entries").over(order).alias("next_entries"),
-    )
-    heads = rows.groupBy("block").agg(F.max(F.struct("doc_id", "tie", "text")).alias("head"))
-    chain = Window.orderBy(F.desc("block"))  # at most BLOCKS + 1 rows
-    whole = chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = heads.select(
-        "block",
-        F.coalesce(F.lead("head.text").over(chain), F.first("head.text").over(whole)).alias("next_text"),
-    ).withColumn("next_entries", signature(F.col("next_text")))
-    inner = following.where("next_text is not null")
-    last = following.where("next_text is null").drop("next_text", "next_entries").join(after, "block")
+    ).where("not guest")
     size = F.length("text")
     half = F.floor(size / 2).cast("int")
     kept = F.substring(F.col("text"), F.lit(1), size - half)
     edited = F.concat(kept, F.substring(F.col("next_text"), F.lit(1), half))
     return (
-        inner.unionByName(last)
-        .select("doc_id", size.cast("bigint").alias("n_chars"), edited.alias("edited"), "entries", "next_entries")
+        following.select("doc_id", size.cast("bigint").alias("n_chars"), edited.alias("edited"), "entries", "next_entries")
         .withColumn("edited_entries", signature(F.col("edited")))
         .select(
             "doc_id",
