@@ -146,7 +146,7 @@ def resolution_tier(pages: DataFrame) -> DataFrame:
     once above the limit, unflagged pages from there on drop to the lower tier.
     """
     summed = block_running_sum(pages, "doc_id", "page_no", "size_bytes")
-    index = F.col("page_no") - 1
+    index = F.col("page_no").cast("bigint") - 1
     over_limit = (index > 0) & (index % 5 == 0) & (
         F.col("sum_before") * F.col("key_rows") > index * PROJECTED_LIMIT_MB * MB
     )
