@@ -37,8 +37,8 @@ def is_related(signature: Column, line: Column) -> Column:
     return F.when(F.size(signature) == 1, first).otherwise(two)
 
 
-def line_candidates(line: Column, row_text: Column) -> Column:
-    """Cell-like tokens of a line that do not occur in the row text."""
+def cell_tokens(line: Column) -> Column:
+    """Cell-like tokens of a line: its words and its parts between tabs, pipes and commas."""
 
     def split_on(separator: str, pattern: str) -> Column:
         parts = F.transform(F.split(line, pattern), strip)
@@ -47,41 +47,69 @@ def line_candidates(line: Column, row_text: Column) -> Column:
     tokens = F.concat(
         words(line), split_on("\t", "\t"), split_on("|", r"\|"), split_on(",", ",")
     )
-    return F.filter(
-        tokens, lambda t: (t != "") & ~row_text.contains(t) & looks_like_tabular(t)
-    )
+    return F.filter(tokens, lambda t: (t != "") & looks_like_tabular(t))
 
 
-def _rows_with_lines(pages: DataFrame) -> DataFrame:
-    """Pipe-table rows with their text and the related, non-blank lines of the page."""
-    numbered = F.transform(
-        lines_of(F.col("markdown")),
-        lambda line, i: F.struct(i.alias("line_no"), line.alias("line")),
-    )
-    tables = pages.filter(F.col("markdown").contains("|")).select(
-        *PAGE,
-        F.filter(numbered, lambda x: strip(x["line"]) != "").alias("lines"),
-        F.posexplode(C.pipe_tables(F.col("markdown"))).alias("pos", "rows"),
-    )
-    rows = tables.select(
-        *PAGE,
-        (F.col("pos") + 1).alias("table_no"),
-        "lines",
-        F.posexplode("rows").alias("row_pos", "cells"),
-    )
-    related = let(
-        row_signature(F.col("cells")),
-        lambda s: F.when(
-            F.size(s) > 0, F.filter("lines", lambda x: is_related(s, x["line"]))
+def not_in_row(tokens: Column, row_text: Column) -> Column:
+    return F.filter(tokens, lambda t: ~row_text.contains(t))
+
+
+def line_candidates(line: Column, row_text: Column) -> Column:
+    """Cell-like tokens of a line that do not occur in the row text."""
+    return not_in_row(cell_tokens(line), row_text)
+
+
+def _page_lines(text: Column, with_tokens: bool) -> Column:
+    """The non-blank lines of a page with their numbers and, if asked for, their tokens."""
+
+    def entry(line: Column, i: Column) -> Column:
+        fields = [i.alias("line_no"), line.alias("line")]
+        return F.struct(*fields, *([cell_tokens(line).alias("tokens")] if with_tokens else []))
+
+    return F.filter(F.transform(lines_of(text), entry), lambda x: strip(x["line"]) != "")
+
+
+def _each_row(pages: DataFrame, found, with_tokens: bool = False) -> DataFrame:
+    """``found(row_text, related lines)`` of every pipe-table row: ``(.., row_text, found)``.
+
+    Lines are prepared once per page and rows are matched with them inside the page's array.
+    Only a row's own result leaves the page; its lines are not copied into each row. A row
+    without a signature is related to no line and its result is null.
+    """
+
+    def of_row(lines: Column, cells: Column, table: Column, row: Column) -> Column:
+        def result(x: Column) -> Column:
+            related = F.filter(lines, lambda line: is_related(x["signature"], line["line"]))
+            return F.struct(
+                (table + 1).alias("table_no"),
+                (row + 1).alias("row_no"),
+                x["row_text"].alias("row_text"),
+                F.when(F.size(x["signature"]) > 0, found(x["row_text"], related)).alias("found"),
+            )
+
+        bound = F.struct(
+            row_signature(cells).alias("signature"), F.array_join(cells, " ").alias("row_text")
+        )
+        return let(bound, result)
+
+    of_page = let(
+        F.struct(
+            _page_lines(F.col("markdown"), with_tokens).alias("lines"),
+            C.pipe_tables(F.col("markdown")).alias("tables"),
+        ),
+        lambda page: F.flatten(
+            F.transform(
+                page["tables"],
+                lambda rows, t: F.transform(
+                    rows, lambda cells, r: of_row(page["lines"], cells, t, r)
+                ),
+            )
         ),
     )
-    return rows.select(
-        *PAGE,
-        "table_no",
-        (F.col("row_pos") + 1).alias("row_no"),
-        F.array_join("cells", " ").alias("row_text"),
-        related.alias("related"),
+    rows = pages.filter(F.col("markdown").contains("|")).select(
+        *PAGE, F.explode(of_page).alias("row")
     )
+    return rows.select(*PAGE, "row.table_no", "row.row_no", "row.row_text", "row.found")
 
 
 ROW = [*PAGE, "table_no", "row_no"]
@@ -104,26 +132,31 @@ def row_signatures(pages: DataFrame) -> DataFrame:
 
 def related_lines(pages: DataFrame) -> DataFrame:
     """Lines of the page that share more than half of a row's signature."""
-    found = _rows_with_lines(pages).select(*ROW, "row_text", F.explode("related").alias("x"))
-    return found.select(*ROW, "row_text", "x.line_no", "x.line")
+    found = _each_row(pages, lambda row_text, related: related)
+    rows = found.select(*ROW, "row_text", F.explode("found").alias("x"))
+    return rows.select(*ROW, "row_text", "x.line_no", "x.line")
 
 
 def candidates(pages: DataFrame) -> DataFrame:
     """Candidate tokens of each related line."""
-    return related_lines(pages).select(
-        *ROW,
-        "line_no",
-        F.explode(line_candidates(F.col("line"), F.col("row_text"))).alias("candidate"),
-    )
+
+    def found(row_text: Column, related: Column) -> Column:
+        return F.transform(
+            related,
+            lambda x: F.struct(x["line_no"], not_in_row(x["tokens"], row_text).alias("tokens")),
+        )
+
+    rows = _each_row(pages, found, with_tokens=True)
+    lines = rows.select(*ROW, F.explode("found").alias("x"))
+    return lines.select(*ROW, "x.line_no", F.explode("x.tokens").alias("candidate"))
 
 
 def missing_row_data(pages: DataFrame) -> DataFrame:
     """Distinct candidates of each row over its related lines, in order of appearance."""
-    found = let(
-        F.col("row_text"),
-        lambda text: F.flatten(
-            F.transform("related", lambda x: line_candidates(x["line"], text))
-        ),
-    )
-    rows = _rows_with_lines(pages).select(*ROW, F.array_distinct(found).alias("missing"))
-    return rows.filter(F.size("missing") > 0)
+
+    def found(row_text: Column, related: Column) -> Column:
+        tokens = F.flatten(F.transform(related, lambda x: x["tokens"]))
+        return not_in_row(F.array_distinct(tokens), row_text)
+
+    rows = _each_row(pages, found, with_tokens=True)
+    return rows.select(*ROW, F.col("found").alias("missing")).filter(F.size("missing") > 0)

@@ -150,14 +150,27 @@ def combo_scores(scores: DataFrame) -> DataFrame:
     return scores.groupBy("combo_id").agg(*_means(), F.count("cer").alias("n_success"))
 
 
-def fold_scores(scores: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Means per combination and fold over successful samples of the fold."""
-    folds = assigned.select("sample_id", "fold")
-    return (
-        scores.join(folds, "sample_id")
+def fold_scores(
+    scores: DataFrame, assigned: DataFrame, folds: int, combos: DataFrame | None = None
+) -> DataFrame:
+    """Means per combination and fold over successful samples of the fold.
+
+    Every combination gets all ``folds``: one without any prediction counts as failed, not as
+    absent. ``combos`` names the combinations tried, by default those with a prediction.
+    """
+    found = (
+        scores.join(assigned.select("sample_id", "fold"), "sample_id")
         .groupBy("combo_id", "fold")
         .agg(*_means(), F.count("cer").alias("n_success"))
     )
+    tried = (scores if combos is None else combos).select("combo_id").distinct()
+    every = F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("fold")
+    worst = {m: F.coalesce(m, F.lit(value)) for m, value in FAILED.items()}
+    return (
+        tried.select("combo_id", every)
+        .join(found, ["combo_id", "fold"], "left")
+        .withColumns({**worst, "n_success": F.coalesce("n_success", F.lit(0).cast("bigint"))})
+    )
 
 
 def _cv_stats() -> list[Column]:

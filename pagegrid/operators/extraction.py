@@ -52,14 +52,23 @@ def page_tables(text: Column, methods=METHODS, noise: list[str] = P.NOISE_CELLS)
     return F.filter(found, lambda t: C.is_meaningful(t["rows"], noise))
 
 
+def _keys(pages: DataFrame) -> list[str]:
+    """The key of a page, with the document's name where pages carry one."""
+    return [*PAGE, "name"] if "name" in pages.columns else [*PAGE]
+
+
+def _stem(pages: DataFrame) -> Column:
+    return F.col("name") if "name" in pages.columns else F.col("doc_id").cast("string")
+
+
 def page_results(pages: DataFrame, methods=METHODS, noise=P.NOISE_CELLS) -> DataFrame:
-    """``(doc_id, page_no, tables)``, every page kept. Map-only.
+    """``(doc_id, page_no, tables)``, and ``name`` if pages have it; every page kept. Map-only.
 
     Write this once when several results are wanted: the operators below accept it in
     place of pages and then extract nothing again.
     """
     found = page_tables(F.col("markdown"), methods, noise)
-    return pages.select(*PAGE, F.explode(F.array(found)).alias("tables"))
+    return pages.select(*_keys(pages), F.explode(F.array(found)).alias("tables"))
 
 
 def _results(pages: DataFrame, *settings) -> DataFrame:
@@ -124,24 +133,33 @@ def page_no_from_name(file_name: Column) -> Column:
 
 
 def page_csv(pages: DataFrame, name: Column | None = None) -> DataFrame:
-    """One CSV text per page with tables: ``(doc_id, page_no, file_name, csv_text)``. Map-only."""
-    stem = name if name is not None else F.col("doc_id").cast("string")
-    found = _results(pages).filter(F.size("tables") > 0)
+    """One CSV text per page with tables: ``(doc_id, page_no, file_name, csv_text)``. Map-only.
+
+    Files are called after ``name``, an expression over pages; without it after their column
+    ``name`` if they have one, else after the document's id.
+    """
+    named = pages if name is None else pages.withColumn("name", name)
+    found = _results(named).filter(F.size("tables") > 0)
     return found.select(
         *PAGE,
-        csv_name(stem, F.col("page_no")).alias("file_name"),
+        csv_name(_stem(found), F.col("page_no")).alias("file_name"),
         C.csv_tables(F.transform("tables", lambda t: t["rows"])).alias("csv_text"),
     )
 
 
 def _table_counts(pages: DataFrame) -> DataFrame:
-    return _results(pages).select(*PAGE, F.size("tables").alias("n_tables"))
+    found = _results(pages)
+    return found.select(*_keys(found), F.size("tables").alias("n_tables"))
 
 
 def run_summary(pages: DataFrame) -> DataFrame:
-    """Pages, tables and pages with tables of each document; combined map-side."""
-    return _table_counts(pages).groupBy("doc_id").agg(
-        F.count("*").alias("pages_processed"),
+    """Pages, tables and pages with tables of each document; combined map-side.
+
+    A document without pages (a null ``page_no``) counts none and stays.
+    """
+    counts = _table_counts(pages)
+    return counts.groupBy(*[c for c in ("doc_id", "name") if c in counts.columns]).agg(
+        F.count("page_no").alias("pages_processed"),
         F.sum(F.col("n_tables").cast("bigint")).alias("tables_found"),
         F.count_if(F.col("n_tables") > 0).alias("pages_with_tables"),
         F.count_if(F.col("n_tables") > 0).alias("csv_files"),
@@ -151,8 +169,5 @@ def run_summary(pages: DataFrame) -> DataFrame:
 
 def run_table_pages(pages: DataFrame) -> DataFrame:
     """The list of pages with tables, in long form so that no document is gathered."""
-    return (
-        _table_counts(pages)
-        .filter(F.col("n_tables") > 0)
-        .withColumn("file_name", csv_name(F.col("doc_id").cast("string"), F.col("page_no")))
-    )
+    counts = _table_counts(pages).filter(F.col("n_tables") > 0)
+    return counts.withColumn("file_name", csv_name(_stem(counts), F.col("page_no")))

@@ -66,7 +66,17 @@ def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.fold_scores(_scores(spark, sf_dir), _folds(spark, sf_dir))
+    return evaluation.fold_scores(_scores(spark, sf_dir), _folds(spark, sf_dir), D.FOLDS)
+
+
+def _silent_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions that leave out failed samples and all of some combinations' folds."""
+    folds = _folds(spark, sf_dir)
+    told = _scores(spark, sf_dir).filter("cer IS NOT NULL").join(folds, "sample_id")
+    scores = told.filter(F.col("fold") != F.col("combo_id") + 1).drop("fold", "position")
+    return evaluation.cv_scores(
+        evaluation.fold_scores(scores, folds, D.FOLDS, D.predictions(spark, sf_dir))
+    )
 
 
 def _cv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,6 +270,7 @@ def queries() -> dict[str, Query]:
         "combo_scores": _on(_scores, evaluation.combo_scores),
         "fold_scores": _on(_fold_scores, lambda s: s),
         "cv_scores": _on(_cv, lambda s: s),
+        "cv_scores_silent": _on(_silent_cv, lambda s: s),
         "best_combo": _on(_cv, evaluation.best_combo),
         "best_progress": _on(_cv, evaluation.best_progress),
         # samples and folds

@@ -16,6 +16,8 @@ from pagegrid.operators.routing import plan_chunks
 from pagegrid.operators.search import FOCUSED_SPREAD, params_with_defaults
 from pagegrid.sources.readers import spread
 
+#: Session setting: partitions of the text tables, for test files of a single split.
+PARTITIONS = "spark.pagegrid.inputPartitions"
 COMBOS = 6
 FOLDS = 5
 PER_FOLD = 3
@@ -38,8 +40,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
-    """A table whose rows become pages."""
-    return spread(table(spark, sf_dir, name), *keys)
+    """A table whose rows become pages, in as many partitions as the session asks for."""
+    asked = spark.conf.get(PARTITIONS, None)
+    return spread(table(spark, sf_dir, name), int(asked) if asked else None, *keys)
 
 
 def _once(value: Column) -> Column:

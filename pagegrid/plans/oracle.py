@@ -481,6 +481,11 @@ SELECT combo_id, avg(cer) AS mean_cer, stddev_pop(cer) AS std_cer, avg(wer) AS m
   stddev_pop(wer) AS std_wer, avg(confidence) AS mean_confidence,
   stddev_pop(confidence) AS std_confidence, count(*) AS fold_count
 FROM fs GROUP BY combo_id)"""
+SILENT_FOLD_SCORES = f"""fs AS (
+SELECT combo_id, fold, {_MEANS}
+FROM (SELECT DISTINCT combo_id FROM pred) CROSS JOIN range(1, {FOLDS} + 1) AS r(fold)
+LEFT JOIN (SELECT sc.*, fold FROM sc JOIN ass ON ass.sample_id = sc.sample_id
+  WHERE cer IS NOT NULL AND fold <> combo_id + 1) USING (combo_id, fold) GROUP BY ALL)"""
 CV_ALL = (SAMPLES, VALID, PREDICTIONS, SCORES, KFOLD, FOLD_SCORES, CV)
 _CV_METRICS = "mean_cer std_cer mean_wer std_wer mean_confidence std_confidence"
 
@@ -1070,6 +1075,10 @@ SELECT request_id, arg_max(class, attempt) AS last_class, count(*) AS attempts,
     sql["cv_scores"] = _select(
         _with(*CV_ALL, "SELECT * FROM cv"), "combo_id fold_count", _CV_METRICS
     )
+    silent = (*CV_ALL[:-2], SILENT_FOLD_SCORES, CV)
+    sql["cv_scores_silent"] = _select(
+        _with(*silent, "SELECT * FROM cv"), "combo_id fold_count", _CV_METRICS
+    )
     best = "SELECT * FROM cv ORDER BY round(mean_cer, 12), combo_id LIMIT 1"
     sql["best_combo"] = _select(_with(*CV_ALL, best), "combo_id fold_count", _CV_METRICS)
     sql["best_progress"] = _select(

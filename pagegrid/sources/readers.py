@@ -7,28 +7,33 @@ from pyspark.sql import functions as F
 
 from pagegrid.functions.text import size_mb, strip
 
-# Only what is read later is parsed; images and coordinates in the files are skipped.
-RESPONSE = "pages array<struct<index:int,markdown:string>>"
+# Only what is read later is parsed; images and coordinates in the files are skipped unless
+# the caller names them among the page fields.
+PAGE_FIELDS = "index:int,markdown:string"
+RESPONSE = f"pages array<struct<{PAGE_FIELDS}>>"
+CORRUPT = "_corrupt_record"
 GROUND_TRUTH = (
     "pages array<struct<blocks:array<struct<lines:array<struct<words:array<"
     "struct<value:string>>>>>>>>"
 )
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan with fewer splits than cores one partition per core.
+def spread(rows: DataFrame, partitions: int | None, *keys: str) -> DataFrame:
+    """Deal rows out to as many partitions as the caller names; ``None`` leaves the scan as is.
 
-    Text work is heavy per row, so a small file read as one split would keep one core busy.
-    A large input has more splits than cores and is returned as it is, without a shuffle.
+    Text work is heavy per row, so a file of one split keeps one core busy. The caller knows
+    its files; nothing here looks at the data.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores, *keys)
+    return rows if partitions is None else rows.repartition(partitions, *keys)
 
 
-def _stem(path: Column) -> Column:
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*\z", "")
+def _file_key() -> Column:
+    """A 128-bit hash of the path, so that a billion files keep distinct keys."""
+    return F.md5("_metadata.file_path")
+
+
+def _stem(path: Column, suffix: str = r"\.[^.]*\z") -> Column:
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), suffix, "")
 
 
 def scan_docs(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
@@ -41,20 +46,29 @@ def scan_docs(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
         .select("path", "length")
     )
     return files.select(
-        F.xxhash64("path").alias("doc_id"),
+        F.md5("path").alias("doc_id"),
         _stem(F.col("path")).alias("name"),
         F.col("length").alias("size_bytes"),
         size_mb(F.col("length")).alias("size_mb"),
     )
 
 
-def response_pages(responses: DataFrame, keys: list[str]) -> DataFrame:
-    """Pages of OCR responses ``(.., pages)``, numbered by position from 1."""
-    pages = responses.select(*keys, F.posexplode("pages").alias("pos", "page"))
+def response_pages(
+    responses: DataFrame, keys: list[str], records: bool = False, keep_empty: bool = False
+) -> DataFrame:
+    """Pages of OCR responses ``(.., pages)``, numbered by position from 1.
+
+    ``records`` adds each page's whole record as ``record``. With ``keep_empty`` a response
+    without pages gives one row with a null ``page_no``, which no page operator extracts from.
+    """
+    each = F.posexplode_outer("pages") if keep_empty else F.posexplode("pages")
+    pages = responses.select(*keys, each.alias("pos", "page"))
+    text = F.when(F.col("pos").isNotNull(), F.coalesce(F.col("page.markdown"), F.lit("")))
     return pages.select(
         *keys,
         (F.col("pos") + 1).alias("page_no"),
-        F.coalesce(F.col("page.markdown"), F.lit("")).alias("markdown"),
+        (text if keep_empty else F.coalesce(F.col("page.markdown"), F.lit(""))).alias("markdown"),
+        *([F.col("page").alias("record")] if records else []),
     )
 
 
@@ -62,18 +76,54 @@ def parse_response(json: Column) -> Column:
     return F.from_json(json, RESPONSE)["pages"]
 
 
-def read_ocr_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """``(doc_id, name, page_no, markdown)`` from one JSON file per document.
-
-    With ``lines=True`` the files hold one response per line and stay splittable.
+def read_responses(
+    spark: SparkSession,
+    path: str,
+    lines: bool = False,
+    id_field: str | None = None,
+    page_fields: str = PAGE_FIELDS,
+) -> DataFrame:
+    """One row per OCR response: ``(doc_id, name, is_readable, pages)``.
+
+    One JSON file per document, or with ``lines=True`` one response per line, which keeps
+    files splittable. ``doc_id`` is the string in ``id_field`` if the caller names one, which is
+    then the ``name`` too. Otherwise it is a hash of the path and, with ``lines``, of the
+    record's position: its split and its place there, so it holds for one layout of the files and
+    one reading; name a field where keys must outlive that. A response that is not JSON, or
+    has no value in ``id_field``, keeps a row under the hashed key; its pages are null.
     """
-    files = spark.read.schema(RESPONSE).option("multiLine", str(not lines).lower()).json(path)
-    named = files.select(
-        F.xxhash64("_metadata.file_path").alias("doc_id"),
-        _stem(F.col("_metadata.file_path")).alias("name"),
-        "pages",
+    ids = f", `{id_field}` string" if id_field else ""
+    files = (
+        spark.read.schema(f"pages array<struct<{page_fields}>>{ids}, {CORRUPT} string")
+        .option("multiLine", str(not lines).lower())
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .json(path)
+    )
+    key, name = _file_key(), _stem(F.col("_metadata.file_path"))
+    if lines:
+        place = F.concat_ws(":", "_metadata.file_path", F.monotonically_increasing_id())
+        key, name = F.md5(place), F.concat_ws("_", name, F.md5(place))
+    if id_field:
+        key, name = F.coalesce(F.col(id_field), key), F.coalesce(F.col(id_field), name)
+    return files.select(
+        key.alias("doc_id"), name.alias("name"), F.isnull(CORRUPT).alias("is_readable"), "pages"
     )
-    return response_pages(named, ["doc_id", "name"])
+
+
+def read_ocr_json(
+    spark: SparkSession,
+    path: str,
+    lines: bool = False,
+    id_field: str | None = None,
+    page_fields: str = PAGE_FIELDS,
+    records: bool = False,
+) -> DataFrame:
+    """``(doc_id, name, is_readable, page_no, markdown)``, a row per page of ``read_responses``.
+
+    Responses without pages, unreadable ones included, keep one row with a null ``page_no``.
+    """
+    responses = read_responses(spark, path, lines, id_field, page_fields)
+    return response_pages(responses, ["doc_id", "name", "is_readable"], records, keep_empty=True)
 
 
 def ground_truth_text(pages: Column) -> Column:
@@ -97,9 +147,14 @@ def ground_truth_text(pages: Column) -> Column:
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """``(sample_id, ground_truth)`` from word-level annotations, gzip or plain JSON."""
+    """``(sample_id, name, ground_truth)`` from word-level annotations, gzip or plain JSON.
+
+    ``name`` is the file name without ``.json`` or ``.json.gz``, as ``read_ocr_json`` gives it,
+    so that annotations join the OCR text of the same document.
+    """
     files = spark.read.schema(GROUND_TRUTH).option("multiLine", "true").json(path)
     return files.select(
-        F.xxhash64("_metadata.file_path").alias("sample_id"),
+        _file_key().alias("sample_id"),
+        _stem(F.col("_metadata.file_path"), r"(\.json)?(\.gz)?\z").alias("name"),
         ground_truth_text(F.col("pages")).alias("ground_truth"),
     )

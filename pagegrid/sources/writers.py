@@ -19,7 +19,13 @@ PAGES_PER_PART = 64
 
 
 def _part_no(pages_per_part: int) -> Column:
-    return div(F.col("page_no") - 1, pages_per_part).alias("part_no")
+    """A document without pages has the part 0, which is empty."""
+    return F.coalesce(div(F.col("page_no") - 1, pages_per_part), F.lit(0)).alias("part_no")
+
+
+def _in_order(entry: Column) -> Column:
+    """Entries of real pages by page number; ``collect_list`` leaves the null ones out."""
+    return F.sort_array(F.collect_list(F.when(F.col("page_no").isNotNull(), entry)))
 
 
 def document_markdown(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFrame:
@@ -31,7 +37,7 @@ def document_markdown(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) ->
         p["markdown"],
         F.lit("\n\n---\n\n"),
     )
-    collected = F.sort_array(F.collect_list(F.struct("page_no", "markdown")))
+    collected = _in_order(F.struct("page_no", "markdown"))
     parts = pages.groupBy("doc_id", _part_no(pages_per_part)).agg(
         F.array_join(F.transform(collected, section), "").alias("sections")
     )
@@ -40,11 +46,13 @@ def document_markdown(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) ->
 
 
 def ocr_json_parts(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFrame:
-    """``(doc_id, part_no, pages)`` with the pages of a part in order."""
-    entry = F.struct(F.col("page_no").alias("page_number"), F.col("markdown"))
-    return pages.groupBy("doc_id", _part_no(pages_per_part)).agg(
-        F.sort_array(F.collect_list(entry)).alias("pages")
-    )
+    """``(doc_id, part_no, pages)`` with the pages of a part in order.
+
+    Where pages carry their whole ``record``, all its fields are written, else the text.
+    """
+    fields = F.col("record.*") if "record" in pages.columns else F.col("markdown")
+    entry = F.struct(F.col("page_no").alias("page_number"), fields)
+    return pages.groupBy("doc_id", _part_no(pages_per_part)).agg(_in_order(entry).alias("pages"))
 
 
 def _save(rows: DataFrame, path: str, fmt: str, by: str | None) -> None:
@@ -64,14 +72,16 @@ def write_document_markdown(pages: DataFrame, path: str) -> None:
     parts.write.mode("overwrite").partitionBy("doc_id", "part_no").text(path)
 
 
-def write_page_csv(pages: DataFrame, path: str, per_file: bool = False) -> None:
-    """CSV text of every page with tables.
+def write_page_csv(
+    pages: DataFrame, path: str, per_file: bool = False, name: Column | None = None
+) -> None:
+    """CSV text of every page with tables, called as in ``page_csv``.
 
     By default a Parquet set ``(doc_id, page_no, file_name, csv_text)``, which stays cheap
     to list however many pages there are; ``per_file`` gives each page its own folder with
     the CSV file in it.
     """
-    texts = page_csv(pages)
+    texts = page_csv(pages, name)
     if not per_file:
         _save(texts, path, "parquet", None)
         return

@@ -20,7 +20,7 @@ def stream_ocr_json(spark: SparkSession, path: str, max_files: int = 1000) -> Da
         .option("maxFilesPerTrigger", max_files)
         .json(path)
     )
-    named = files.select(F.xxhash64("_metadata.file_path").alias("doc_id"), "pages")
+    named = files.select(F.md5("_metadata.file_path").alias("doc_id"), "pages")
     return response_pages(named, ["doc_id"])
 
 

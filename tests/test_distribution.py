@@ -131,7 +131,9 @@ def test_scores_of_failures_and_ties(spark):
     means = {r.combo_id: r for r in evaluation.combo_scores(scores).collect()}
     assert (means[3].cer, means[3].wer, means[3].confidence, means[3].seconds) == (1, 1, 0, float("inf"))
     assert means[1].n_success == 4 and means[1].cer == 0.5
-    folds = evaluation.fold_scores(scores, evaluation.kfold_assign(samples.filter("sample_id < 9"), 2))
+    folds = evaluation.fold_scores(
+        scores, evaluation.kfold_assign(samples.filter("sample_id < 9"), 2), 2
+    )
     cv = evaluation.cv_scores(folds)
     assert evaluation.best_combo(cv).first().combo_id == 1
     assert [r.combo_id for r in evaluation.best_progress(cv).collect()] == [1]

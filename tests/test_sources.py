@@ -30,11 +30,68 @@ def test_scan_docs_does_not_read_contents(spark, tmp_path):
 def test_read_ocr_json(spark, tmp_path):
     (tmp_path / "d1.json").write_text(response("one", "two\nlines"))
     (tmp_path / "d2.json").write_text(response())
-    rows = readers.read_ocr_json(spark, str(tmp_path)).orderBy("page_no").collect()
-    assert [(r.name, r.page_no, r.markdown) for r in rows] == [
-        ("d1", 1, "one"),
-        ("d1", 2, "two\nlines"),
+    (tmp_path / "d3.json").write_text(response("| a | b |")[:-9])
+    pages = readers.read_ocr_json(spark, str(tmp_path))
+    rows = pages.orderBy("name", "page_no").collect()
+    assert [(r.name, r.is_readable, r.page_no, r.markdown) for r in rows] == [
+        ("d1", True, 1, "one"),
+        ("d1", True, 2, "two\nlines"),
+        ("d2", True, None, None),
+        ("d3", False, None, None),
     ]
+    summary = extraction.run_summary(pages).orderBy("name").collect()
+    assert [(r.name, r.pages_processed, r.tables_found) for r in summary] == [
+        ("d1", 2, 0),
+        ("d2", 0, 0),
+        ("d3", 0, 0),
+    ]
+    parts = writers.document_markdown(pages.filter("name <> 'd1'")).collect()
+    assert [(r.part_no, r.markdown) for r in parts] == [(0, "# Enhanced OCR Results\n\n")] * 2
+    assert extraction.page_csv(pages).count() == 0
+
+
+def test_each_line_is_a_response_of_its_own(spark, tmp_path):
+    one, two = response("| a | b |", "x"), response("| a | b |", "x")
+    (tmp_path / "all.json").write_text("\n".join([one, two, '{"pages": [', response()]))
+    pages = readers.read_ocr_json(spark, str(tmp_path), lines=True).cache()
+    summary = extraction.run_summary(pages).collect()
+    assert sorted((r.pages_processed, r.tables_found) for r in summary) == [(0, 0)] * 2 + [(2, 1)] * 2
+    assert len({r.name for r in summary}) == 4
+    assert len({r.file_name for r in extraction.page_csv(pages).collect()}) == 2
+    assert pages.filter("NOT is_readable").count() == 1
+
+
+def test_responses_by_id_field_with_whole_page_records(spark, tmp_path):
+    page = {"index": 0, "markdown": "| a | b |", "images": [{"id": "i"}]}
+    lines = [json.dumps({"id": k, "pages": [page]}) for k in ("u", "v")]
+    (tmp_path / "all.json").write_text("\n".join(lines))
+    pages = readers.read_ocr_json(
+        spark,
+        str(tmp_path),
+        lines=True,
+        id_field="id",
+        page_fields="index:int,markdown:string,images:array<struct<id:string>>",
+        records=True,
+    )
+    files = extraction.page_csv(pages).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.file_name) for r in files] == [("u", "u_page_1.csv"), ("v", "v_page_1.csv")]
+    named = extraction.page_csv(pages, F.concat(F.lit("n-"), "doc_id")).orderBy("doc_id").collect()
+    assert [r.file_name for r in named] == ["n-u_page_1.csv", "n-v_page_1.csv"]
+    written = writers.ocr_json_parts(pages).orderBy("doc_id").first().asDict(True)
+    assert written == {"doc_id": "u", "part_no": 0, "pages": [{"page_number": 1, **page}]}
+
+
+def test_ground_truth_joins_the_text_of_its_document(spark, tmp_path):
+    word = {"pages": [{"blocks": [{"lines": [{"words": [{"value": "ab"}]}]}]}]}
+    (tmp_path / "truth").mkdir()
+    (tmp_path / "ocr").mkdir()
+    with gzip.open(tmp_path / "truth" / "d.1.json.gz", "wt") as f:
+        json.dump(word, f)
+    (tmp_path / "ocr" / "d.1.json").write_text(response("ab"))
+    truth = readers.read_ground_truth(spark, str(tmp_path / "truth"))
+    pages = readers.read_ocr_json(spark, str(tmp_path / "ocr"))
+    rows = truth.join(pages, "name").select("ground_truth", "markdown").collect()
+    assert [tuple(r) for r in rows] == [("ab", "ab")]
 
 
 def test_read_ground_truth(spark, tmp_path):
