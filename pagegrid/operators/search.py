@@ -35,31 +35,6 @@ DEFAULTS = {
     "enhancement_dpi": 550.0,
 }
 
-# The tuned parameters.
-TUNED = {
-    "table_contrast_factor": 2.8,
-    "table_brightness_factor": 0.725,
-    "table_sharpness_factor": 2.35,
-    "standard_contrast_factor": 2.6,
-    "standard_brightness_factor": 0.68,
-    "standard_sharpness_factor": 2.1,
-    "bilateral_d": 9.0,
-    "bilateral_sigma_color": 95.0,
-    "bilateral_sigma_space": 75.0,
-    "adaptive_block_size": 15.0,
-    "adaptive_c": 1.67,
-    "morph_kernel_size": 1.0,
-    "table_morph_close_iterations": 1.0,
-    "table_morph_dilate_iterations": 1.0,
-    "standard_dilate_iterations": 1.0,
-    "matrix_scale": 4.5,
-    "enhancement_matrix_scale": 4.5,
-    "dpi": 500.0,
-    "enhancement_dpi": 500.0,
-    "edge_density_threshold": 0.030,
-    "line_density_threshold": 0.005,
-}
-
 # Half widths and counts of the ranges around a baseline, and listed ranges.
 FOCUSED_SPREAD = {
     "table_contrast_factor": (0.5, 5),
