@@ -187,6 +187,7 @@ def queries() -> dict[str, Query]:
         "page_lines": _on(docs, pages.page_lines),
         "page_lines_turns": _on(turns, pages.page_lines),
         "table_line_stats": _on(docs, pages.table_line_stats),
+        "table_line_stats_ledger": _on(ledger, pages.table_line_stats),
         "data_lines": _on(docs, pages.data_lines),
         "char_ratios": _on(docs, pages.char_ratios),
         "word_counts": _on(docs, pages.word_counts),
@@ -196,7 +197,9 @@ def queries() -> dict[str, Query]:
         "column_patterns": _on(loose, pages.column_patterns),
         "column_pattern_counts": _on(docs, pages.column_pattern_counts),
         "tabular_layout": _on(turns, pages.tabular_layout),
+        "tabular_layout_documents": _on(docs, pages.tabular_layout),
         "financial_keywords": _on(docs, pages.financial_keywords),
+        "financial_keywords_ledger": _on(ledger, pages.financial_keywords),
         "flag_pages": _on(D.page_features, pages.flag_pages),
         "first_pages": _on(turns, pages.first_pages),
         # pipe tables

@@ -568,16 +568,17 @@ def oracle_sql() -> dict[str, str]:
         sql[name] = _select(
             _with(source, LINES, "SELECT * FROM lines"), f"{page} line_no", texts="line"
         )
-    sql["table_line_stats"] = _select(
-        _with(
-            DOC_PAGES,
-            LINES,
-            f"SELECT *, {_is_separator('line')} AS is_separator FROM lines WHERE {_is_table('line')}",
-        ),
-        f"{page} line_no",
-        texts="line",
-        bools="is_separator",
-    )
+    for name, source in (("table_line_stats", DOC_PAGES), ("table_line_stats_ledger", INVOICE_PAGES)):
+        sql[name] = _select(
+            _with(
+                source,
+                LINES,
+                f"SELECT *, {_is_separator('line')} AS is_separator FROM lines WHERE {_is_table('line')}",
+            ),
+            f"{page} line_no",
+            texts="line",
+            bools="is_separator",
+        )
     sql["data_lines"] = _select(
         _with(DOC_PAGES, LINES, f"SELECT * FROM lines WHERE {_is_data(_strip('line'))}"),
         f"{page} line_no",
@@ -642,22 +643,24 @@ def oracle_sql() -> dict[str, str]:
     )
     layout = f"""SELECT doc_id, page_no, count(*) AS n_lines,
  count(*) FILTER (WHERE len({_words('line')}) >= 4) AS n_tabular_lines FROM lines GROUP BY ALL"""
-    sql["tabular_layout"] = _select(
-        _with(
-            CONV_PAGES,
-            LINES,
-            f"""SELECT *, n_tabular_lines > n_lines * CAST(0.2 AS DOUBLE) AS is_tabular
+    for name, source in (("tabular_layout", CONV_PAGES), ("tabular_layout_documents", DOC_PAGES)):
+        sql[name] = _select(
+            _with(
+                source,
+                LINES,
+                f"""SELECT *, n_tabular_lines > n_lines * CAST(0.2 AS DOUBLE) AS is_tabular
  FROM ({layout})""",
-        ),
-        f"{page} n_lines n_tabular_lines",
-        bools="is_tabular",
-    )
+            ),
+            f"{page} n_lines n_tabular_lines",
+            bools="is_tabular",
+        )
     keywords = " OR ".join(f"contains(upper(markdown), '{k}')" for k in P.FINANCIAL_KEYWORDS)
-    sql["financial_keywords"] = _select(
-        _with(DOC_PAGES, f"SELECT *, {keywords} AS is_financial FROM pg"),
-        page,
-        bools="is_financial",
-    )
+    for name, source in (("financial_keywords", DOC_PAGES), ("financial_keywords_ledger", INVOICE_PAGES)):
+        sql[name] = _select(
+            _with(source, f"SELECT *, {keywords} AS is_financial FROM pg"),
+            page,
+            bools="is_financial",
+        )
     wide = f"""len(list_filter(string_split(text, {NL}), lambda x: len({_words('x')}) >= 4))
  > len(string_split(text, {NL})) * CAST(0.2 AS DOUBLE)"""
     d = lambda x: f"CAST({x} AS DOUBLE)"
