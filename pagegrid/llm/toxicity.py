@@ -1,7 +1,8 @@
 """Toxicity scores from a lexicon that also catches misspellings, and from context.
 
 The lexicon is learnt: words far more frequent in toxic than in other labelled texts, by
-their share of texts. Levenshtein automata walk a trie of it to find misspelled terms; words
+their share of texts, and by more than chance makes likely. Texts that use a word between the
+same two neighbours, as copies do, count as one. Levenshtein automata walk a trie of it to find misspelled terms; words
 that other texts use are never taken for misspellings. Around every hit, a window says
 whether the term is quoted or reported rather than used. A logistic model on sums over the
 hits gives the score.
@@ -21,19 +22,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegrid.llm.common import text_of
+from pagegrid.llm.common import checkpoint, text_of
 from pagegrid.llm.language import held_out
-from pagegrid.llm.lexicon import Lexicon
+from pagegrid.llm.lexicon import STRIPPED, Lexicon
 
 #: Labelled documents per class that the lexicon and the model are fitted on, as expected by
 #: their hash, and most terms of the lexicon.
 SAMPLE = 2500
 TERMS = 5000
-#: Least toxic texts with a term, and least ratio of its shares of toxic and other texts.
-SUPPORT, RATIO = 3, 8.0
+#: Least toxic texts with a term, least ratio of its shares of toxic and other texts, and least
+#: likelihood ratio (G, chi-squared with one degree of freedom) against equal shares: 1 in 1000.
+SUPPORT, RATIO, LIKELIHOOD = 3, 8.0, 10.83
 #: Tokens looked at on either side of a hit.
 WINDOW = 6
 QUOTES = "\"'“”„«»‘’"
@@ -165,17 +167,31 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pagegrid.llm.lexicon import STRIPPED
-
+    """Each word of a text once, with the tokens beside its first place in it."""
     for batch in batches:
         for text, toxic in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
-            words = {w for t in set(text.lower().split()) if (w := t.strip(STRIPPED))}
+            tokens = text.lower().split()
+            beside: dict[str, str] = {}
+            for k, token in enumerate(tokens):
+                if (word := token.strip(STRIPPED)) and word not in beside:
+                    beside[word] = " ".join(tokens[max(0, k - 1) : k] + [""] + tokens[k + 1 : k + 2])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sorted(words), pa.string()), pa.array([toxic] * len(words), pa.int32())],
-                names=["word", "toxic"],
+                [
+                    pa.array(list(beside), pa.string()),
+                    pa.array(list(beside.values()), pa.string()),
+                    pa.array([toxic] * len(beside), pa.int32()),
+                ],
+                names=["word", "beside", "toxic"],
             )
 
 
+def _likelihood(bad: Column, good: Column, share: float) -> Column:
+    """G of the toxic and other texts with a word against the share of toxic ones in all texts."""
+    both = bad + good
+    part = F.when(bad > 0, bad * F.log(bad / (both * share))).otherwise(0.0)
+    return 2 * (part + F.when(good > 0, good * F.log(good / (both * (1 - share)))).otherwise(0.0))
+
+
 def _measured(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
@@ -203,15 +219,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     totals = {r["toxic"]: r["count"] for r in taught.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return Model(constant=share)
-    words = taught.mapInArrow(_words, "word string, toxic int")
-    counts = words.groupBy("word").agg(
-        F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
+    words = taught.mapInArrow(_words, "word string, beside string, toxic int")
+    counts = (
+        words.groupBy("word", F.xxhash64("beside").alias("beside"))
+        .agg(F.max("toxic").alias("bad"), F.max(1 - F.col("toxic")).alias("good"))
+        .groupBy("word")
+        .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     )
+    counts = checkpoint(counts)
     ratio = ((F.col("bad") + 0.5) / (totals[1] + 1)) / ((F.col("good") + 0.5) / (totals[0] + 1))
     terms = (
         counts.where(F.col("bad") >= SUPPORT)
         .withColumn("ratio", ratio)
         .where(F.col("ratio") >= RATIO)
+        .where(_likelihood(F.col("bad"), F.col("good"), totals[1] / sum(totals.values())) >= LIKELIHOOD)
         .orderBy(F.desc("ratio"), "word")
         .limit(TERMS)
         .collect()
