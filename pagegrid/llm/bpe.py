@@ -1,9 +1,10 @@
 """BPE encoding and decoding by a queue of merge ranks over a linked list of symbols.
 
-Rules for normalising and splitting a text come from the tokenizer file and are applied by
-the tokenizers library to one run of non-space characters at a time (no rule of such a file
-looks across white space); merges and decoding are done here. Runs repeat, so their ids are
-kept in a cache of bounded size, which changes no result.
+Rules for normalising and splitting a text come from the tokenizer file. Whole texts of common
+characters are split into words at once; others go to the tokenizers library one run of
+non-space characters at a time (no rule of such a file looks across white space). Merges and
+decoding are done here. Words repeat, so their ids are kept in a cache of bounded size, which
+changes no result.
 
 Defined cases: null text is the empty text, with no ids. Ids, texts and their order are those
 of the rows given, repeated rows included. An empty table gives no rows. Other columns are
@@ -14,10 +15,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,30 +30,44 @@ from tokenizers import Tokenizer
 
 from pagegrid.llm.common import text_of
 
-CACHED_RUNS = 200_000
-CACHED_WORDS = 400_000
+CACHED_RUNS = 100_000
+CACHED_WORDS = 600_000
 LONGEST_CACHED = 48
 #: White space by Unicode; Python's split() knows four characters more.
 RUN = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 EXTRA_SPACE = "\x1c\x1d\x1e\x1f"
+#: What the library has to look at: control characters that are no white space, characters that
+#: may be decomposed, and the start of a special token.
+UNCOMMON = re.compile("[\0-\x08\x0e-\x1f\u0300-\U0010ffff]|<\\|")
 
 
 class Codes(dict):
-    """Ids by string, as little-endian uint32 bytes; forgets all when full."""
+    """Ids by string, as little-endian uint32 bytes, in two halves.
+
+    When the newer half is full, the older one is forgotten; what is met again moves back.
+    """
 
     def __init__(self, encode, most: int) -> None:
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.half = encode, most // 2
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
-        code = self.encode(text)
+        code = self.older.get(text)
+        if code is None:
+            code = self.encode(text)
         if len(text) <= LONGEST_CACHED:
-            if len(self) >= self.most:
+            if len(self) >= self.half:
+                self.older = dict(self)
                 self.clear()
             self[text] = code
         return code
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: itself, or the next one from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -78,10 +94,13 @@ class Bpe:
         longest_first = sorted(self.special, key=len, reverse=True)
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
         self.strings = {i: s for s, i in [*self.ids.items(), *self.special.items()]}
-        self.ranks = {
-            self.ids[a] << 32 | self.ids[b]: rank << 32
-            for rank, (a, b) in enumerate(model["merges"])
-        }
+        none: dict[int, int] = {}
+        #: Rank by left and right symbol; symbols that start no pair share one empty table.
+        self.ranks = [none] * (1 + max(self.strings))
+        for rank, (a, b) in enumerate(model["merges"]):
+            if self.ranks[self.ids[a]] is none:
+                self.ranks[self.ids[a]] = {}
+            self.ranks[self.ids[a]][self.ids[b]] = rank
         self.merged = [self.ids[a + b] for a, b in model["merges"]]
         self.words = Codes(self._encode_word, CACHED_WORDS)
         self.runs = Codes(self._encode_run, CACHED_RUNS)
@@ -104,42 +123,52 @@ class Bpe:
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge neighbours, lowest rank first and leftmost among equals, until none can be.
 
-        The queue holds rank and place; an entry whose pair has changed since is skipped.
+        The queue holds rank and place in one number. ``current`` has the entry that holds for
+        a place, so that entries whose pair has changed since are known and skipped.
         """
-        rank_of, count = self.ranks.get, len(symbols)
+        ranks, count = self.ranks, len(symbols)
+        bits = count.bit_length()
+        places = (1 << bits) - 1
+        current, queue = [-1] * count, []
+        for k in range(count - 1):
+            rank = ranks[symbols[k]].get(symbols[k + 1])
+            if rank is not None:
+                current[k] = entry = rank << bits | k
+                queue.append(entry)
+        if not queue:
+            return symbols
+        heapify(queue)
         after, before = [*range(1, count), -1], [-1, *range(count - 1)]
-        pairs = zip(symbols, symbols[1:], strict=False)
-        ranks = [rank_of(a << 32 | b) for a, b in pairs]
-        queue = [rank | k for k, rank in enumerate(ranks) if rank is not None]
-        heapq.heapify(queue)
         while queue:
-            entry = heapq.heappop(queue)
-            left = entry & 0xFFFFFFFF
-            right = after[left]
-            if right < 0 or symbols[left] < 0:
-                continue
-            if rank_of(symbols[left] << 32 | symbols[right]) != entry - left:
+            entry = heappop(queue)
+            left = entry & places
+            if current[left] != entry:
                 continue
-            merged = self.merged[entry >> 32]
-            symbols[left], symbols[right] = merged, -1
+            right = after[left]
+            symbols[left] = merged = self.merged[entry >> bits]
+            symbols[right] = current[right] = current[left] = -1
             after[left] = beyond = after[right]
             if beyond >= 0:
                 before[beyond] = left
-                rank = rank_of(merged << 32 | symbols[beyond])
+                rank = ranks[merged].get(symbols[beyond])
                 if rank is not None:
-                    heapq.heappush(queue, rank | left)
+                    current[left] = entry = rank << bits | left
+                    heappush(queue, entry)
             ahead = before[left]
             if ahead >= 0:
-                rank = rank_of(symbols[ahead] << 32 | merged)
-                if rank is not None:
-                    heapq.heappush(queue, rank | ahead)
+                rank = ranks[symbols[ahead]].get(merged)
+                if rank is None:
+                    current[ahead] = -1
+                else:
+                    current[ahead] = entry = rank << bits | ahead
+                    heappush(queue, entry)
         return [s for s in symbols if s >= 0]
 
     def _encode_letters(self, word: str) -> bytes:
         if self.library is not None:
-            return np.array([t.id for t in self.library.tokenize(word)], "<u4").tobytes()
+            return packed([t.id for t in self.library.tokenize(word)])
         parts = [*word[:-1], word[-1] + self.suffix]
-        return np.array(self.merge([self.ids[p] for p in parts if p in self.ids]), "<u4").tobytes()
+        return packed(self.merge([self.ids[p] for p in parts if p in self.ids]))
 
     def _encode_word(self, word: str) -> bytes:
         if word.isascii():
@@ -148,12 +177,12 @@ class Bpe:
 
     def _encode_run(self, run: str) -> bytes:
         lowered = run.lower()
-        if self.quick and "<|" not in run and " " < min(lowered) and max(lowered) < "\u0300":
+        if self.quick and not UNCOMMON.search(lowered):
             return b"".join([self.words[w] for w in self.quick.findall(lowered)])
         codes = []
         for k, part in enumerate(self.special_pattern.split(run)):
             if k % 2:
-                codes.append(np.array([self.special[part]], "<u4").tobytes())
+                codes.append(packed([self.special[part]]))
             elif part:
                 part = self.normalizer.normalize_str(part) if self.normalizer else part
                 words = self.pre_tokenizer.pre_tokenize_str(part)
@@ -162,6 +191,9 @@ class Bpe:
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian uint32 bytes."""
+        lowered = text.lower()
+        if self.quick and not UNCOMMON.search(lowered):
+            return b"".join(map(self.words.__getitem__, self.quick.findall(lowered)))
         plain = not any(c in text for c in EXTRA_SPACE)
         return b"".join(map(self.runs.__getitem__, text.split() if plain else RUN.findall(text)))
 
