@@ -1,0 +1,82 @@
+"""The near stage of the pipeline against brute-force Jaccard."""
+
+import os
+import sys
+
+import numpy as np
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+import corpus_pipeline
+from pagegrid.llm import simhash
+
+
+def plain_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or {tuple(words)}
+
+
+def survivors(rows):
+    """Indexes kept when every pair at Jaccard >= 0.8 is linked."""
+    sets = [plain_shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def root(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                group[root(a)] = root(b)
+    best = {}
+    for k, (doc_id, _) in enumerate(rows):
+        best.setdefault(root(k), []).append((doc_id is None, doc_id or 0, k))
+    return sorted(min(v)[2] for v in best.values())
+
+
+def edited(rng, text, times):
+    words = text.split()
+    for at in rng.choice(len(words), times, replace=False):
+        words[at] = f"new{rng.integers(1 << 30)}"
+    return " ".join(words)
+
+
+def test_near_stage_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    texts = ["", None, "a", "A", "a b c d", "a b c d e"]
+    for _ in range(40):
+        base = " ".join(f"w{x}" for x in rng.integers(0, 5000, 200))
+        texts += [base, *(edited(rng, base, times) for times in (1, 3, 4, 5, 6, 9))]
+    chain = " ".join(f"c{k}" for k in range(100))
+    for k in range(12):  # each step near the one before, the ends far apart
+        texts.append(" ".join(chain.split()[5 * k : 5 * k + 60]))
+    rows = list(zip(map(int, rng.permutation(len(texts))), texts, strict=True))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = corpus_pipeline.near_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    wanted = survivors(rows)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(rows[k][0] for k in wanted)
+    assert 40 < len(wanted) < len(rows) - 120
+    assert corpus_pipeline.near_stage(spark, docs.where("false"), "").count() == 0
+
+
+def test_fingerprints_apart_but_texts_near(spark):
+    rng = np.random.default_rng(9)
+    base = " ".join(f"w{x}" for x in rng.integers(0, 5000, 200))
+    other = next(
+        t for t in (edited(rng, base, 4) for _ in range(100))
+        if (simhash.simhash(base) ^ simhash.simhash(t)).bit_count() > 3
+    )
+    docs = spark.createDataFrame([(1, base), (2, other)], "doc_id bigint, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()] == [1]
+
+
+def test_near_stage_keeps_rows_without_or_with_repeated_id(spark):
+    rng = np.random.default_rng(10)
+    far = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 60)) for _ in range(4)]
+    rows = [(None, far[0]), (None, far[1]), (None, far[1]), (7, far[2]), (7, far[3])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.text for r in corpus_pipeline.near_stage(spark, docs, "").collect()) == sorted(far)
