@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from pagegrid.llm.common import checkpoint, spread_lookup, text_of
 from pagegrid.llm.components import connected_components
+from pagegrid.llm.near_text import keep_smallest
 
 SHINGLE = 3
 SEED = 42
@@ -60,8 +61,8 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     for batch in batches:
         marks = [simhash(x) for x in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.array(marks, np.uint64).view(np.int64))],
-            names=["doc_id", "mark"],
+            [batch.column(0), pa.array(np.array(marks, np.uint64).view(np.int64))],
+            names=[batch.schema.names[0], "mark"],
         )
 
 
@@ -267,13 +268,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest doc_id."""
-    groups = near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_keep")).distinct()
-    keyed = docs.withColumn("_doc_key", F.col("doc_id").cast("bigint"))
-    return (
-        keyed.join(kept, F.col("_doc_key").eqNullSafe(F.col("_keep")), "leftsemi")
-        .dropDuplicates(["_doc_key"])
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    """``docs`` with one row of each group: the one with the smallest doc_id.
+
+    Null ids come last, then the smallest SHA-256 of the text decides. Groups are of texts, so
+    rows without an id, or of one id with several texts, stay apart unless their texts are near.
+    """
+    text = text_of(docs)
+    texts = docs.select(F.sha2(text, 256).alias("sha"), text.alias("text"))
+    marks = checkpoint(texts.mapInArrow(_fingerprint_batches, "sha string, mark bigint").distinct())
+    distinct = checkpoint(marks.select("mark").distinct())
+    roots = connected_components(near_links(distinct)).withColumnRenamed("node", "mark")
+    groups = spread_lookup(marks, roots, ["mark"], F.col("sha"))
+    return keep_smallest(docs, groups.select("sha", F.coalesce("root", "mark").alias("root")))
