@@ -123,26 +123,28 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on about ``sample`` labelled texts per language, picked by a hash of the text.
 
-    ``labelled`` has text and lang. Counts per language cover all rows; a language's picked
-    share is ``sample`` over its count, so what the driver gets is bounded by languages times
-    sample times the size of a feature vector, whatever the table's size.
+    ``labelled`` has text and lang. Counts per language cover the distinct texts of all rows,
+    copies count once; a language's picked share is ``sample`` over its count, so what the
+    driver gets is bounded by languages times sample times the size of a feature vector,
+    whatever the table's size.
     """
     usable = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).where(
         F.col("text").isNotNull() & F.col("lang").isNotNull()
     )
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    steps = 1 << 30
+    drawn = F.xxhash64("text", F.lit(17))
+    texts = usable.select("lang", drawn.alias("drawn")).distinct()
+    counts = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], *[np.zeros((0, 0))] * 4)
     codes = codewords(len(languages))
     if len(languages) == 1:
         return Model(languages, *[codes] * 4)
-    steps = 1 << 30
     limit = F.create_map(
         *[F.lit(v) for k in languages for v in (k, min(steps, math.ceil(steps * sample / counts[k])))]
     )
-    draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(steps))
-    picked = usable.where(draw < limit[F.col("lang")])
+    picked = usable.where(F.pmod(drawn, F.lit(steps)) < limit[F.col("lang")])
     # Equal texts share a hash: one of each is enough, and bounds what a hot text can add.
     picked = picked.dropDuplicates(["lang", "text"])
     rows = picked.mapInArrow(_features, "lang string, features binary").toArrow()
