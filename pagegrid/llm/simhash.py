@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pagegrid.llm.common import checkpoint, spread_lookup, text_of
 from pagegrid.llm.components import connected_components
-from pagegrid.llm.near_text import keep_smallest
+from pagegrid.llm.near_text import keep_smallest, text_key
 
 SHINGLE = 3
 SEED = 42
@@ -274,9 +274,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows without an id, or of one id with several texts, stay apart unless their texts are near.
     """
     text = text_of(docs)
-    texts = docs.select(F.sha2(text, 256).alias("sha"), text.alias("text"))
-    marks = checkpoint(texts.mapInArrow(_fingerprint_batches, "sha string, mark bigint").distinct())
+    texts = docs.select(text_key(text).alias("sha"), text.alias("text"))
+    marks = checkpoint(texts.mapInArrow(_fingerprint_batches, "sha binary, mark bigint").distinct())
     distinct = checkpoint(marks.select("mark").distinct())
     roots = connected_components(near_links(distinct)).withColumnRenamed("node", "mark")
     groups = spread_lookup(marks, roots, ["mark"], F.col("sha"))
-    return keep_smallest(docs, groups.select("sha", F.coalesce("root", "mark").alias("root")))
+    root = F.unhex(F.lpad(F.hex(F.coalesce("root", "mark")), 16, "0")).alias("root")
+    return keep_smallest(docs, groups.select("sha", root))
