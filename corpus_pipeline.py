@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagegrid.llm import exact_dedup, language, near_text, packing, registry, secret_scan
+from pagegrid.llm import exact_dedup, language, packing, registry, secret_scan, simhash
 from pagegrid.llm.common import shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,9 +30,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8), the smallest doc_id."""
+    """One document of each group of near copies (SimHash, 3 bits or fewer), the smallest doc_id."""
     registry.ship(spark)
-    return near_text.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
