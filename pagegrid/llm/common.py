@@ -53,3 +53,23 @@ def spread_lookup(rows: DataFrame, table: DataFrame, keys: list[str], salt: Colu
 def text_of(rows: DataFrame) -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(rows["text"].cast("string"), F.lit(""))
+
+
+def text_key(text: Column) -> Column:
+    """The first 128 bits of a text's SHA-256: half the bytes, and texts do not share them."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
+def keep_rows(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for every (id, key) of ``kept``; ids may be null.
+
+    The caller's columns travel as one struct, so that none of their names can clash.
+    """
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("bigint").alias("id"),
+        key.alias("key"),
+    )
+    kept = kept.select(F.col("id").alias("kept_id"), F.col("key").alias("kept_key"))
+    same = (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id"))
+    return rows.join(kept, same, "leftsemi").dropDuplicates(["id", "key"]).select("row.*")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegrid.llm import golomb
-from pagegrid.llm.common import checkpoint, shuffle_partitions, spread_lookup, text_of
+from pagegrid.llm.common import checkpoint, keep_rows, shuffle_partitions, spread_lookup, text_of
 
 MESSAGE = "source int, owner int, width int, code binary"
 REPLY = "source int, owner int, duplicates binary"
@@ -166,12 +166,5 @@ def exact_duplicates(docs: DataFrame, owners: int | None = None) -> DataFrame:
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` without exact copies: one row per text, the one with the largest doc_id."""
     kept = exact_duplicates(docs).where("kept")
-    kept = kept.select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_text_sha", F.sha2(text_of(docs), 256))
-    same = F.col("_doc_key").eqNullSafe(F.col("_keep")) & (F.col("_text_sha") == F.col("_sha"))
-    return (
-        keyed.withColumn("_doc_key", F.col("doc_id").cast("bigint"))
-        .join(kept, same, "leftsemi")
-        .dropDuplicates(["_doc_key", "_text_sha"])
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    kept = kept.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("key"))
+    return keep_rows(docs, F.sha2(text_of(docs), 256), kept)

@@ -23,9 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegrid.llm.common import checkpoint, spread_lookup, text_of
+from pagegrid.llm.common import checkpoint, keep_rows, spread_lookup, text_key, text_of
 from pagegrid.llm.components import connected_components
-from pagegrid.llm.near_text import keep_smallest, text_key
 
 SHINGLE = 3
 SEED = 42
@@ -279,5 +278,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     distinct = checkpoint(marks.select("mark").distinct())
     roots = connected_components(near_links(distinct)).withColumnRenamed("node", "mark")
     groups = spread_lookup(marks, roots, ["mark"], F.col("sha"))
-    root = F.unhex(F.lpad(F.hex(F.coalesce("root", "mark")), 16, "0")).alias("root")
-    return keep_smallest(docs, groups.select("sha", root))
+    groups = groups.select("sha", F.coalesce("root", "mark").alias("root"))
+    ids = docs.select(text_key(text).alias("sha"), F.col("doc_id").cast("bigint").alias("id"))
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "sha")
+    first = (
+        ids.groupBy("sha")
+        .agg(F.min("id").alias("id"))
+        .join(groups, "sha")
+        .groupBy("root")
+        .agg(F.min(rank).alias("first"))
+    )
+    kept = first.select(F.col("first.id").alias("id"), F.col("first.sha").alias("key"))
+    return keep_rows(docs, text_key(text), kept)

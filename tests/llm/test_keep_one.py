@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from pagegrid.llm import simhash
+from pagegrid.llm import exact_dedup, simhash
 
 
 def survivors(rows):
@@ -29,3 +29,15 @@ def test_null_and_repeated_ids_lose_no_text(spark):
     assert sorted(kept, key=str) == sorted(wanted, key=str)
     assert len(kept) == 8
     assert simhash.keep_one(docs.where("false")).count() == 0
+
+
+def test_columns_of_any_name_come_through(spark):
+    """Names that the operators use inside are the caller's to use as well."""
+    names = ["id", "key", "kept_id", "row", "sha", "root", "_keep", "mark", "first", "_salt", "source", "tag"]
+    rows = [(k, ["one text", "another", "one text", None][k % 4], *[f"{n}{k}" for n in names]) for k in range(8)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id bigint", "text string", *[f"{n} string" for n in names]]))
+    single = exact_dedup.drop_duplicates(docs)
+    assert single.columns == docs.columns
+    assert sorted(tuple(r) for r in single.collect()) == sorted(rows[k] for k in (5, 6, 7))
+    apart = simhash.keep_one(docs)
+    assert sorted(tuple(r) for r in apart.collect()) == sorted(rows[k] for k in (0, 1, 3))
