@@ -16,6 +16,7 @@ from pagegrid.llm import (
     bpe,
     exact_dedup,
     language,
+    merkle,
     order_minhash,
     packing,
     pii,
@@ -83,6 +84,7 @@ def queries() -> dict[str, Query]:
         "op8_language": _documents(language.predict_language),
         "op9_warc": _warc,
         "op10_bpe": _documents(lambda docs: bpe.token_digests(docs, tokenizer())),
+        "op12_merkle": _documents(merkle.verified_manifest),
     }
 
 
@@ -110,4 +112,64 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN page_id <> first_id THEN first_id END AS refers_to
             FROM b
         """,
+        "op12_merkle": """
+            WITH RECURSIVE d AS (
+                SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS g, n_chars,
+                       list_transform([source, lang], lambda x: coalesce(strlen(x) || ':' || x, '-')) AS f,
+                       coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') AS i,
+                       coalesce(strlen(text) || ':' || text, '-') AS t,
+                       coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS c,
+                       coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS c1,
+                       list_reduce(list_transform(range(1, 1 + strlen(doc_id::VARCHAR)),
+                               lambda k: ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT),
+                           lambda crc, b: list_reduce(range(8),
+                               lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(crc, b)),
+                           4294967295::BIGINT) AS crc
+                FROM documents),
+            leaves AS (
+                SELECT doc_id, g, sha256(i || f[1] || f[2] || c || t) AS leaf,
+                       CASE WHEN xor(crc, 4294967295) % 7 = 0
+                            THEN sha256(i || f[1] || f[2] || c1 || t) END AS changed
+                FROM d),
+            base AS (
+                SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                       count(*) OVER (PARTITION BY g) AS n
+                FROM leaves),
+            up AS (
+                SELECT g, 0 AS lvl, pos, n, leaf AS h FROM base
+                UNION ALL
+                SELECT g, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+                FROM up WHERE n > 1 GROUP BY g, lvl, pos // 2, n),
+            tops AS (
+                SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n
+                FROM up WHERE n = 1),
+            upper AS (
+                SELECT 0 AS lvl, pos, n, h FROM tops
+                UNION ALL
+                SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+                FROM upper WHERE n > 1 GROUP BY lvl, pos // 2, n),
+            steps AS (
+                SELECT b.g, b.pos, l.lvl, 0 AS tier, b.pos >> l.lvl AS own
+                FROM base b JOIN (SELECT DISTINCT g, lvl FROM up WHERE n > 1) l ON l.g = b.g
+                UNION ALL
+                SELECT b.g, b.pos, l.lvl, 1, t.pos >> l.lvl
+                FROM base b JOIN tops t ON t.g = b.g, (SELECT DISTINCT lvl FROM upper WHERE n > 1) l),
+            paths AS (
+                SELECT s.g, s.pos, list({'first': s.own % 2 = 0, 'h': coalesce(u.h, v.h, '')}
+                                       ORDER BY s.tier, s.lvl) AS path
+                FROM steps s
+                LEFT JOIN up u ON s.tier = 0 AND u.g = s.g AND u.lvl = s.lvl AND u.pos = xor(s.own, 1)
+                LEFT JOIN upper v ON s.tier = 1 AND v.lvl = s.lvl AND v.pos = xor(s.own, 1)
+                GROUP BY s.g, s.pos),
+            folded AS (
+                SELECT b.doc_id, b.leaf, t.h AS subroot, (SELECT h FROM upper WHERE n = 1) AS root,
+                       sha256(coalesce(list_aggregate(list_transform(p.path, lambda x: x.h),
+                                                      'string_agg', ''), '')) AS proof_sha256,
+                       list_reduce(list_prepend(coalesce(b.changed, b.leaf), list_transform(
+                               coalesce(p.path, []), lambda x: CASE WHEN x.first THEN '>' ELSE '<' END || x.h)),
+                           lambda h, x: sha256(CASE WHEN x[1] = '>' THEN h || x[2:] ELSE x[2:] || h END)
+                       ) AS folded_root
+                FROM base b JOIN tops t ON t.g = b.g LEFT JOIN paths p ON p.g = b.g AND p.pos = b.pos)
+            SELECT *, folded_root = root AS verified FROM folded
+        """,
     }
