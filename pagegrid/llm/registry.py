@@ -22,6 +22,7 @@ from pagegrid.llm import (
     pii,
     secret_scan,
     simhash,
+    token_spans,
     toxicity,
     warc,
 )
@@ -59,6 +60,12 @@ def tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def _token_spans(docs: DataFrame) -> DataFrame:
+    return token_spans.linked_tokens(
+        docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -85,6 +92,7 @@ def queries() -> dict[str, Query]:
         "op9_warc": _warc,
         "op10_bpe": _documents(lambda docs: bpe.token_digests(docs, tokenizer())),
         "op12_merkle": _documents(merkle.verified_manifest),
+        "op13_token_spans": _documents(_token_spans),
     }
 
 
