@@ -22,6 +22,7 @@ from pagegrid.llm import (
     pii,
     secret_scan,
     simhash,
+    substring_dedup,
     token_spans,
     toxicity,
     warc,
@@ -91,6 +92,7 @@ def queries() -> dict[str, Query]:
         "op8_language": _documents(language.predict_language),
         "op9_warc": _warc,
         "op10_bpe": _documents(lambda docs: bpe.token_digests(docs, tokenizer())),
+        "op11_suffix_array": _documents(substring_dedup.removal_report),
         "op12_merkle": _documents(merkle.verified_manifest),
         "op13_token_spans": _documents(_token_spans),
     }
