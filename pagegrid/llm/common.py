@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,16 @@ def checkpoint(rows: DataFrame) -> DataFrame:
     return rows.checkpoint(eager=True)
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written as a Parquet table in the shared folder and read again.
+
+    Like ``checkpoint``, for rows that are dear to compute: a checkpoint computes them twice.
+    """
+    path = f"{shared_dir(rows.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

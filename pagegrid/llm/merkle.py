@@ -110,14 +110,14 @@ def _with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
 
 
 def _parents(level: DataFrame, arity: int) -> DataFrame:
-    zero = level.where((F.col("size") > 1) & (F.col("at") % arity == 0))
-    up = zero.select(
+    """The nodes above; a group whose tree has ended keeps its root as it is."""
+    own = digest(hex_text(F.concat("digest", "after")))
+    return level.where(F.col("at") % arity == 0).select(
         "group",
         F.expr(f"at div {arity}").alias("at"),
         F.expr(f"(size + {arity - 1}) div {arity}").alias("size"),
-        digest(hex_text(F.concat("digest", "after"))).alias("digest"),
+        F.when(F.col("size") > 1, own).otherwise(F.col("digest")).alias("digest"),
     )
-    return up.unionByName(level.where("size = 1").select(*NODE, "size", "digest"))
 
 
 def tree_levels(leaves: DataFrame, arity: int = ARITY) -> list[DataFrame]:
@@ -127,15 +127,12 @@ def tree_levels(leaves: DataFrame, arity: int = ARITY) -> list[DataFrame]:
     """
     nodes, levels = leaves.select(*NODE, "size", "digest"), []
     largest = nodes.agg(F.max("size")).first()[0] or 0
-    while largest:
-        if largest == 1:
-            levels.append(nodes.withColumns({"before": empty(), "after": empty()}))
-            break
-        growing = _with_siblings(nodes.where("size > 1"), arity)
-        ended = nodes.where("size = 1").withColumns({"before": empty(), "after": empty()})
-        levels.append(checkpoint(growing.unionByName(ended)))
+    while largest > 1:
+        levels.append(checkpoint(_with_siblings(nodes, arity)))
         nodes = _parents(levels[-1], arity)
         largest = -(-largest // arity)
+    if largest:
+        levels.append(nodes.withColumns({"before": empty(), "after": empty()}))
     return levels
 
 

@@ -33,12 +33,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegrid.llm.common import SALTS, checkpoint, spread_lookup, text_of
+from pagegrid.llm.common import SALTS, checkpoint, spread_lookup, text_of, written
 from pagegrid.llm.suffixes import common_prefixes, joined, suffix_array
 
 LENGTH = 200
 #: Contexts that a shard should hold; a hash with more is dealt out.
-SHARD = 4096
+SHARD = 2048
 #: Window digests that an owner should merge.
 OWNER = 1 << 20
 #: Places judged at a time, and bits that number them in a hash.
@@ -338,7 +338,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) ->
     coded = keyed.mapInArrow(_packer, "t1 bigint, t2 bigint, code binary")
     coded = coded.groupBy(*TEXT).agg(F.first("code").alias("code"))
     cuts = coded.join(lists, TEXT).select("code", "asked").mapInArrow(_cutter(length), CUT_DDL)
-    found = checkpoint(cuts.groupBy("shard").applyInArrow(_searcher(length), FOUND))
+    found = written(cuts.groupBy("shard").applyInArrow(_searcher(length), FOUND), "spans")
     spans = found.where("d1 is null").select(*TEXT, "start", "stop")
     windows = found.where("d1 is not null")
     owners = -(-windows.count() // OWNER) or 1

@@ -5,28 +5,26 @@ from __future__ import annotations
 import numpy as np
 
 #: Symbols packed into one number for the first sort, and bits of each.
-FIRST, BITS = 3, 21
+FIRST, BITS = 7, 9
 
 
 def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All parts as one sequence of symbols, each closed by a symbol of its own; their starts."""
+    """All parts as one sequence of symbols, each closed by a zero; their starts."""
     sizes = np.array([len(p) + 1 for p in parts], np.int64)
     ends = np.cumsum(sizes)
     symbols = np.frombuffer(b"\0".join([*parts, b""]), np.uint8).astype(np.int64)
-    symbols += len(parts) + 1
-    symbols[ends - 1] = np.arange(1, len(parts) + 1)
+    symbols += 1
+    symbols[ends - 1] = 0
     return symbols, ends - sizes
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes in order. Symbols lie below 2 ** ``BITS``; at least one is unique.
+    """Starts of all suffixes in order; symbols lie below 2 ** ``BITS``.
 
     Suffixes are sorted by their first symbols; then groups that are still equal, and only
     those, are sorted by the rank of what follows, twice as far each time.
     """
     size = len(symbols)
-    if size >= 1 << BITS:
-        raise ValueError("too many symbols for one shard")
     padded = np.concatenate([symbols, np.zeros(FIRST, np.int64)])
     key = np.zeros(size, np.int64)
     for k in range(FIRST):
@@ -69,8 +67,8 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, starts: np.ndarray,
     before[order[1:]] = order[:-1]
     shared = np.zeros(len(symbols), np.int64)
     end = starts + sizes
-    # A closing symbol at the end stops every comparison that would leave the sequence.
-    symbols = np.concatenate([symbols, [0]])
+    # Another suffix may run into its closing symbol or the end; one asked for does not.
+    symbols = np.concatenate([symbols, [-1]])
     walked, height = starts.copy(), np.zeros(len(starts), np.int64)
     live = np.flatnonzero(walked + most <= end)
     while len(live):

@@ -29,42 +29,59 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagegrid.llm.bpe import Codes, byte_letters
-from pagegrid.llm.common import checkpoint, text_of
+from pagegrid.llm.bpe import byte_letters
+from pagegrid.llm.common import checkpoint, text_of, written
 
 #: Pairs whose counts every task gets.
 HOT = 1 << 18
-CACHED = 400_000
+CACHED, LONGEST_CACHED = 300_000, 48
 #: Pairs gathered by a task before they are added up.
 BLOCK = 1 << 20
 #: Buckets per doubling of a count, to find the count from which on pairs are hot.
 STEPS = 8
-CUT = re.compile(r"(?<=\S)(?= +[^ ])")
-#: Where spaces do not stand alone between non-spaces.
-UNEVEN = re.compile(r"[^\S ] |  | \Z")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>\Z")
-ROWS = (
+#: Links of a group beyond which its ids are counted first.
+WIDE = 4096
+#: Texts whose stretches are looked up together, and characters aligned in one go.
+TOGETHER, TEXT = 256, 1 << 16
+TOKENS = (
     "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
-    "n_best bigint, count_sum bigint, keys array<bigint>, weights array<bigint>"
+    "pairs binary"
 )
+SCORED = TOKENS.replace("pairs binary", "n_best bigint, count_sum bigint, keys array<bigint>, weights array<bigint>")
+UNKNOWN = object()
 NONE = np.zeros(0, np.int64)
 
 
-def common_ends(ends_a: list[int], ends_b: list[int]) -> list[int]:
-    other = set(ends_b)
-    return [e for e in ends_a if e in other]
+class Cache:
+    """Entries by stretch in two halves: when the newer is full, the older is forgotten."""
 
+    def __init__(self, most: int) -> None:
+        self.half, self.newer, self.older = most // 2, {}, {}
 
-def running(sizes: list[int]) -> list[int]:
-    return np.cumsum(sizes, dtype=np.int64).tolist() if sizes else []
+    def seen(self, text: str):
+        if text in self.newer:
+            return self.newer[text]
+        entry = self.older.get(text, UNKNOWN)
+        if entry is not UNKNOWN:
+            self.keep(text, entry)
+        return entry
+
+    def keep(self, text: str, entry) -> None:
+        if len(text) <= LONGEST_CACHED:
+            if len(self.newer) >= self.half:
+                self.older, self.newer = self.newer, {}
+            self.newer[text] = entry
 
 
 class Aligner:
@@ -86,96 +103,164 @@ class Aligner:
         inside = any(re.search("[^▁]▁", name) for name in names)
         as_is = self.b.normalize("a  b ") == "▁a▁▁b▁"
         self.splits = plain and as_is and not inside
-        self.known = Codes(self.align, CACHED)
+        self.size_a = np.zeros(1 + max(self.bytes_a), np.int64)
+        for i, code in self.bytes_a.items():
+            self.size_a[i] = len(code)
+        self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        #: An id as text before the next one of its side, after A's last and after B's last.
+        most = max(len(self.size_a), self.width)
+        self.texts = [f"{i}{mark}" for mark in ",|;" for i in range(most)]
+        self.most = most
+        self.known = Cache(CACHED)
 
     @staticmethod
     def _piece_bytes(name: str) -> bytes:
         byte = BYTE_PIECE.match(name)
         return bytes([int(byte[1], 16)]) if byte else name.replace("▁", " ").encode()
 
-    def spans(self, text: str) -> tuple[list[int], list[int], list[int], list[int]]:
-        """Ids of A and B, and the bytes of ``text`` (its first space is B's own) where a token
-        ends together with a whole character."""
-        place = [0, *running([len(c.encode()) for c in text])]
-        coded = self.a.encode(text, add_special_tokens=False)
-        spans = coded.offsets
-        ends_a = [
-            place[end]
-            for k, (_, end) in enumerate(spans)
-            if k + 1 == len(spans) or spans[k + 1][0] >= end
-        ]
-        parts = self.b.encode(text[1:], return_type="proto").pieces
-        # A piece without a surface is a byte before the last of a character, or B's own space.
-        ends_b = [p.end + 1 for p in parts if p.end > p.begin]
-        return coded.ids, ends_a, [p.id for p in parts], ends_b
-
-    def align(self, text: str):
-        """(A tokens, B tokens, groups, links, groups as text, pair keys, links of each pair).
-
-        None if a tokenizer's bytes are not the text's.
+    def cuts(self, text: str):
+        """Ids of A and B, their byte ends in ``text``, and the ends that both have.
+
+        ``text`` starts with a space, which B adds itself. None if a tokenizer's bytes are not
+        the text's.
         """
         raw = text.encode()
-        a, coarse_a, b, coarse_b = self.spans(text)
-        own_a, own_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(own_a) != raw or b"".join(own_b) != raw:
+        coded = self.a.encode(text, add_special_tokens=False)
+        a, pieces = coded.ids, self.b.encode(text[1:], return_type="proto").pieces
+        b = [p.id for p in pieces]
+        if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
             return None
-        ends_a, ends_b = running([len(x) for x in own_a]), running([len(x) for x in own_b])
-        groups, i, j = [], 0, 0
-        for cut in common_ends(coarse_a, coarse_b):
-            p, q = ends_a.index(cut, i) + 1, ends_b.index(cut, j) + 1
-            inner = [cut]
-            if p - i > 1 and q - j > 1:
-                inner = common_ends(ends_a[i:p], ends_b[j:q])
-            for end in inner:
-                x, y = ends_a.index(end, i) + 1, ends_b.index(end, j) + 1
-                groups.append((a[i:x], b[j:y]))
-                i, j = x, y
-        links: Counter = Counter()
-        for x, y in groups:
-            counts_b = Counter(y)
-            for one, times in Counter(x).items():
-                for two, more in counts_b.items():
-                    links[one * self.width + two] += times * more
-        listed = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
-        total = sum(links.values())
-        keys = np.fromiter(links, np.int64, len(links))
-        weights = np.fromiter(links.values(), np.int64, len(links))
-        return len(a), len(b), len(groups), total, listed, keys, weights
+        # Coarse cuts: A tokens that end with a whole character, by character offsets, and B
+        # pieces with a surface (those without are a character's first bytes, or B's own space).
+        place = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80), len(raw))
+        spans = np.fromiter(chain.from_iterable(coded.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
+        coarse_a = np.append(spans[1:, 0] >= spans[:-1, 1], True)
+        stop_b = np.array([p.end for p in pieces], np.int64)
+        coarse_b = stop_b > np.append(0, stop_b[:-1])
+        whole = np.intersect1d(place[spans[coarse_a, 1]], stop_b[coarse_b] + 1, assume_unique=True)
+        # What is left between them is cut where decoded bytes end together.
+        a, b = np.array(a), np.array(b)
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        left_a, left_b = (x[~np.isin(x, whole, assume_unique=True)] for x in (ends_a, ends_b))
+        return a, b, ends_a, ends_b, np.union1d(whole, np.intersect1d(left_a, left_b, assume_unique=True))
+
+    def align_all(self, texts: list[str]) -> list[tuple | None]:
+        """The entry of each stretch; none but the last may end with white space.
+
+        An entry has the number of A tokens, B tokens, groups and links, the groups as text,
+        and pair keys and their links as bytes (a key may come more than once). It is None if a
+        tokenizer does not give the stretch's bytes back.
+        """
+        found = self.cuts("".join(texts)) if len(texts) == 1 or self.splits else None
+        if found is None:
+            return [None] if len(texts) == 1 else [self.align_all([x])[0] for x in texts]
+        a, b, ends_a, ends_b, cuts = found
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        keys, weights, links = self.linked(a, b, group_a, group_b, len(cuts))
+        # Tokens in the order of the groups' text: A's, then B's, and what follows each.
+        group = np.append(group_a * 2, group_b * 2 + 1)
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        last = np.append(group[1:] != group[:-1], True)
+        mark = np.where(last, 1 + group % 2, 0)
+        names = (mark * self.most + np.append(a, b)[order]).tolist()
+        words = [self.texts[k] for k in names]
+        ends = np.cumsum([len(x.encode()) for x in texts])
+        groups = np.searchsorted(cuts, ends) + 1
+        stops = [x.tolist() for x in (np.searchsorted(group_a, groups), np.searchsorted(group_b, groups), groups)]
+        pairs = np.append(0, np.cumsum(links))[groups]
+        size = np.append(0, np.cumsum(weights))[pairs].tolist()
+        entries, i, j, g, p, w = [], 0, 0, 0, 0, 0
+        keys, weights = keys.tobytes(), weights.tobytes()
+        for x, y, h, q, v in zip(*stops, pairs.tolist(), size, strict=True):
+            text = "".join(words[i + j : x + y])
+            entries.append((x - i, y - j, h - g, v - w, text, keys[8 * p : 8 * q], weights[8 * p : 8 * q]))
+            i, j, g, p, w = x, y, h, q, v
+        return entries
+
+    def linked(self, a, b, group_a, group_b, count: int):
+        """Pair keys and links of all groups in order, and the number of keys of each group.
+
+        Groups of many tokens are first reduced to their distinct ids.
+        """
+        times_a, times_b = np.ones(len(a), np.int64), np.ones(len(b), np.int64)
+        sizes_a, sizes_b = np.bincount(group_a, minlength=count), np.bincount(group_b, minlength=count)
+        if (sizes_a * sizes_b).max(initial=0) > WIDE:
+            a, group_a, times_a = self._distinct(a, group_a)
+            b, group_b, times_b = self._distinct(b, group_b)
+            sizes_a, sizes_b = np.bincount(group_a, minlength=count), np.bincount(group_b, minlength=count)
+        # Every A token, once for each B token of its group.
+        own = sizes_b[group_a]
+        left = np.repeat(np.arange(len(a)), own)
+        step = np.arange(len(left)) - np.repeat(np.cumsum(own) - own, own)
+        right = (np.cumsum(sizes_b) - sizes_b)[group_a[left]] + step
+        return a[left] * self.width + b[right], times_a[left] * times_b[right], sizes_a * sizes_b
+
+    @staticmethod
+    def _distinct(ids, group):
+        both, times = np.unique(np.stack([group, ids]), axis=1, return_counts=True)
+        return both[1], both[0], times
 
     def stretches(self, text: str) -> list[str]:
         """``text``, which starts with a space, in stretches that align on their own."""
         if not self.splits:
             return [text]
-        if UNEVEN.search(text):
-            return CUT.split(text)
-        return [" " + x for x in text[1:].split(" ")]
-
-    def document(self, text: str | None):
-        """Counts, groups and pairs of a whole text; None if it has no tokens."""
-        if not text:
-            return None
-        own = self.stretches(" " + text)
-        found = {x: self.known[x] for x in set(own)}
-        if any(entry is None for entry in found.values()):
-            return None
-        return own, found
+        pieces = text[1:].split(" ")
+        if all([x and not x[-1].isspace() for x in pieces]):
+            return [" " + x for x in pieces]
+        found, gap, last = [], " ", ""
+        for x in pieces:
+            if not x:
+                gap += " "
+                continue
+            if found and last.isspace():
+                found[-1] += [gap, x]
+            else:
+                found.append([gap, x])
+            gap, last = " ", x[-1]
+        if not found:
+            return [text]
+        found[-1].append(gap[1:])
+        return ["".join(x) for x in found]
+
+    def documents(self, texts: list[str | None]) -> Iterator[tuple[list[str], dict] | None]:
+        """Per text its stretches and their entries; None if it has no tokens."""
+        known = self.known
+        for at in range(0, len(texts), TOGETHER):
+            own = [self.stretches(" " + x) if x else [] for x in texts[at : at + TOGETHER]]
+            found = {x: known.seen(x) for x in set().union(*own)}
+            new, size, some = [x for x, entry in found.items() if entry is UNKNOWN], 0, []
+            for k, x in enumerate(new, 1):
+                some.append(x)
+                size += len(x)
+                # Only what follows a non-space can be aligned behind it.
+                if size > TEXT or k == len(new) or x[-1].isspace():
+                    found.update(zip(some, self.align_all(some), strict=True))
+                    size, some = 0, []
+            for x in new:
+                known.keep(x, found[x])
+            for stretches in own:
+                parts = {x: found[x] for x in stretches}
+                yield (stretches, parts) if parts and None not in parts.values() else None
 
     def summary(self, own: list[str], found: dict) -> tuple[int, int, int, int, str]:
         parts = [found[x] for x in own]
         sums = [sum([p[k] for p in parts]) for k in range(4)]
-        digest = hashlib.sha256(";".join([p[4] for p in parts]).encode()).hexdigest()
+        digest = hashlib.sha256("".join([p[4] for p in parts])[:-1].encode()).hexdigest()
         return (*sums, digest)
 
     @staticmethod
     def pairs(own: list[str], found: dict) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pair keys of a text, ascending, and the number of links of each."""
         times = Counter(own)
-        keys = np.concatenate([found[x][5] for x in times])
-        weights = np.concatenate([found[x][6] * n for x, n in times.items()])
-        keys, place = np.unique(keys, return_inverse=True)
-        sums = np.zeros(len(keys), np.int64)
-        np.add.at(sums, place.reshape(-1), weights)
-        return keys, sums
+        keys = np.frombuffer(b"".join([found[x][5] for x in times]), np.int64)
+        weights = np.frombuffer(b"".join([found[x][6] for x in times]), np.int64)
+        sizes = [len(found[x][5]) // 8 for x in times]
+        weights = weights * np.repeat(np.fromiter(times.values(), np.int64, len(times)), sizes)
+        order = np.argsort(keys, kind="stable")
+        keys, weights = keys[order], weights[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return keys[first], np.add.reduceat(weights, first)
 
 
 @functools.lru_cache(maxsize=2)
@@ -184,33 +269,62 @@ def aligner(byte_bpe: str, pieces: bytes) -> Aligner:
     return Aligner(byte_bpe, pieces)
 
 
-def _counter(files):
+def coded_pairs(keys: np.ndarray, weights: np.ndarray) -> bytes:
+    """Ascending keys as differences, and weights, byte by byte of all numbers, compressed."""
+    planes = np.stack([np.diff(keys, prepend=0), weights]).view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def read_pairs(code: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(code), np.uint8).reshape(8, -1)
+    keys, weights = np.ascontiguousarray(planes.T).view(np.int64).reshape(2, -1)
+    return np.cumsum(keys), weights
+
+
+NO_PAIRS = coded_pairs(NONE, NONE)
+
+
+def _tokens(files):
+    """Everything about a text but what depends on other texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, parts, size = aligner(*files.value), [], 0
+        both = aligner(*files.value)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if aligned := both.document(text):
-                    parts.append(np.unique(np.concatenate([x[5] for x in aligned[1].values()])))
-                    size += len(parts[-1])
-                    if size >= BLOCK:
-                        yield _added(parts)
-                        parts, size = [], 0
-        yield _added(parts)
+            rows = [
+                (*both.summary(*x), coded_pairs(*both.pairs(*x))) if x else (0, 0, 0, 0, "", NO_PAIRS)
+                for x in both.documents(batch.column("text").to_pylist())
+            ]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+            arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+            names = [x.split()[0] for x in TOKENS.split(", ")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=names)
 
     return run
 
 
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts, size = [], 0
+    for batch in batches:
+        for code in batch.column("pairs").to_pylist():
+            parts.append(read_pairs(code)[0])
+            size += len(parts[-1])
+            if size >= BLOCK:
+                yield _added(parts)
+                parts, size = [], 0
+    yield _added(parts)
+
+
 def _added(parts: list[np.ndarray]) -> pa.RecordBatch:
     keys, counts = np.unique(np.concatenate([NONE, *parts]), return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
 
 
-def pair_counts(docs: DataFrame, files) -> DataFrame:
+def pair_counts(tokens: DataFrame, width: int) -> DataFrame:
     """(key, n, best): documents that link a pair, and whether no pair of its A id has more."""
-    texts = docs.select(text_of(docs).alias("text"))
-    found = texts.mapInArrow(_counter(files), "key bigint, n bigint")
+    found = tokens.select("pairs").mapInArrow(_counter, "key bigint, n bigint")
     counts = checkpoint(found.groupBy("key").agg(F.sum("n").alias("n")))
-    first = F.expr(f"key div {aligner(*files.value).width}")
+    first = F.expr(f"key div {width}")
     highest = counts.groupBy(first.alias("first")).agg(F.max("n").alias("most"))
     joined = counts.withColumn("first", first).join(highest, "first")
     return checkpoint(joined.select("key", "n", (F.col("n") == F.col("most")).alias("best")))
@@ -230,53 +344,51 @@ def hot_from(counts: DataFrame, most: int) -> int:
     return bound
 
 
-def _scorer(files, hot):
+def _scorer(hot):
+    """Sums over the hot pairs of a text, and its other pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = aligner(*files.value)
         known, counts, best = hot.value
         for batch in batches:
-            rows = [_scored(both, x, known, counts, best) for x in batch.column("text").to_pylist()]
-            columns = list(zip(*rows, strict=True)) or [()] * 9
-            kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 2 + [pa.list_(pa.int64())] * 2
+            rows = []
+            for code in batch.column("pairs").to_pylist():
+                keys, weights = read_pairs(code)
+                place = np.searchsorted(known, keys)
+                hit = np.zeros(len(keys), bool)
+                inside = place < len(known)
+                hit[inside] = known[place[inside]] == keys[inside]
+                place = place[hit]
+                n_best = int(weights[hit][best[place]].sum())
+                rows.append((n_best, int((weights[hit] * counts[place]).sum()), keys[~hit], weights[~hit]))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = [pa.int64()] * 2 + [pa.list_(pa.int64())] * 2
             arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
-            names = [x.split()[0] for x in ROWS.split(", ")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=names)
+            own = [batch.column(k) for k in range(batch.num_columns - 1)]
+            names = [x.split()[0] for x in SCORED.split(", ")]
+            yield pa.RecordBatch.from_arrays([*own, *arrays], names=names)
 
     return run
 
 
-def _scored(both: Aligner, text: str, known, counts, best) -> tuple:
-    aligned = both.document(text)
-    if aligned is None:
-        return (0, 0, 0, 0, "", 0, 0, NONE, NONE)
-    keys, weights = both.pairs(*aligned)
-    place = np.searchsorted(known, keys)
-    hit = np.zeros(len(keys), bool)
-    inside = place < len(known)
-    hit[inside] = known[place[inside]] == keys[inside]
-    place = place[hit]
-    n_best = int(weights[hit][best[place]].sum())
-    count_sum = int((weights[hit] * counts[place]).sum())
-    return (*both.summary(*aligned), n_best, count_sum, keys[~hit], weights[~hit])
-
-
 def linked_tokens(docs: DataFrame, byte_bpe: str, pieces: str, hot: int = HOT) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for every row.
 
     ``byte_bpe`` and ``pieces`` are the tokenizers' files, read by the driver and broadcast (a
-    few MB each). Texts are tokenised twice: to count pairs, and to look the counts up.
+    few MB each). A text's tokens are found once; its pairs are kept compressed in a table.
     """
     context = docs.sparkSession.sparkContext
     with open(byte_bpe, encoding="utf-8") as a, open(pieces, "rb") as b:
         files = context.broadcast((a.read(), b.read()))
-    counts = pair_counts(docs, files)
+    width = sentencepiece.SentencePieceProcessor(model_file=pieces).get_piece_size()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
+    tokens = written(texts.mapInArrow(_tokens(files), TOKENS), "tokens")
+    counts = pair_counts(tokens, width)
     bound = hot_from(counts, hot)
     top = counts.where(F.col("n") > bound).orderBy("key").toArrow()
     table = context.broadcast(
         tuple(top[c].to_numpy() for c in ("key", "n")) + (np.array(top["best"].to_pylist(), bool),)
     )
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
-    rows = checkpoint(texts.mapInArrow(_scorer(files, table), ROWS))
+    rows = written(tokens.mapInArrow(_scorer(table), SCORED), "scored")
     rows = rows.withColumn("tag", F.monotonically_increasing_id())
     rest = rows.select("tag", F.explode(F.arrays_zip("keys", "weights")).alias("x"))
     rare = rest.select("tag", "x.*").join(
