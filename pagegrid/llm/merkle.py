@@ -94,7 +94,8 @@ def _with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
         others.append(sibling)
     joined = nodes
     for sibling in others:
-        joined = joined.join(sibling, NODE, "left")
+        # Merged, since a broadcast of each level would pass through the driver.
+        joined = joined.join(sibling.hint("merge"), NODE, "left")
     # The sibling ``step`` places on has a larger slot, or has gone round to a smaller one.
     after = [
         F.when(slot + step < arity, F.coalesce(F.col(f"other{step}"), empty())).otherwise(empty())
@@ -148,7 +149,7 @@ def leaf_paths(levels: list[DataFrame], tops: DataFrame, arity: int = ARITY) ->
         above = above.select("group", F.col("at").alias("up"), *carried, F.col("path").alias("rest"))
         entry = F.array(F.struct("before", "after"))
         own = F.when(F.col("size") > 1, F.concat(entry, "rest")).otherwise(F.col("rest"))
-        above = down.join(above, ["group", "up"]).select(*NODE, *carried, own.alias("path"))
+        above = down.join(above.hint("merge"), ["group", "up"]).select(*NODE, *carried, own.alias("path"))
         if number % STRETCH == 0 and number < len(levels) - 1:
             above = checkpoint(above)
     return above
@@ -194,7 +195,7 @@ def manifest(docs: DataFrame, arity: int = ARITY) -> DataFrame:
         F.col("name").alias("group"), F.col("digest").alias("subroot"), "path"
     )
     found = leaf_paths(levels, checkpoint(named), arity)
-    rows = leaves.join(found, NODE).withColumn("root", F.lit(root))
+    rows = leaves.join(found.hint("merge"), NODE).withColumn("root", F.lit(root))
     return _shaped(rows)
 
 

@@ -44,7 +44,7 @@ from pagegrid.llm.common import checkpoint, text_of, written
 
 #: Pairs whose counts every task gets.
 HOT = 1 << 18
-CACHED, LONGEST_CACHED = 300_000, 48
+CACHED, LONGEST_CACHED = 500_000, 48
 #: Pairs gathered by a task before they are added up.
 BLOCK = 1 << 20
 #: Buckets per doubling of a count, to find the count from which on pairs are hot.
@@ -53,7 +53,7 @@ BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 #: Links of a group beyond which its ids are counted first.
 WIDE = 4096
 #: Texts whose stretches are looked up together, and characters aligned in one go.
-TOGETHER, TEXT = 256, 1 << 16
+TOGETHER, TEXT = 512, 1 << 16
 TOKENS = (
     "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
     "pairs binary"
