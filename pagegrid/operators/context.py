@@ -1,16 +1,24 @@
 """Look for values that belong to a table row elsewhere on its page.
 
-Rows and lines of a page meet inside the page's row, so only matches are ever emitted.
+Lines, rows and tokens are made by built-in functions. Rows and lines of a page meet inside the
+page's task, in an index of the page's lines (``page_index``), so only matches are ever emitted
+and a page costs its length plus its matches, not rows times lines. Built-in functions have no
+keyed look-up inside an array, so this step runs by Arrow batches in Python.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegrid.functions import cells as C
+from pagegrid.functions import page_index
 from pagegrid.functions.lines import looks_like_tabular
-from pagegrid.functions.text import let, lines_of, strip, words
+from pagegrid.functions.text import lines_of, strip, words
 from pagegrid.operators.pages import PAGE
 
 
@@ -24,19 +32,6 @@ def row_signature(cells: Column) -> Column:
     )
 
 
-def is_related(signature: Column, line: Column) -> Column:
-    """More than half of the one to three signature parts occur in the line.
-
-    That is the only part, both of two, or any two of three; a missing part is null and
-    never makes the test true.
-    """
-    first, second, third = [
-        line.contains(F.get(signature, F.lit(i))) for i in range(SIGNATURE_PARTS)
-    ]
-    two = (first & (second | third)) | (second & third)
-    return F.when(F.size(signature) == 1, first).otherwise(two)
-
-
 def cell_tokens(line: Column) -> Column:
     """Cell-like tokens of a line: its words and its parts between tabs, pipes and commas."""
 
@@ -50,15 +45,6 @@ def cell_tokens(line: Column) -> Column:
     return F.filter(tokens, lambda t: (t != "") & looks_like_tabular(t))
 
 
-def not_in_row(tokens: Column, row_text: Column) -> Column:
-    return F.filter(tokens, lambda t: ~row_text.contains(t))
-
-
-def line_candidates(line: Column, row_text: Column) -> Column:
-    """Cell-like tokens of a line that do not occur in the row text."""
-    return not_in_row(cell_tokens(line), row_text)
-
-
 def _page_lines(text: Column, with_tokens: bool) -> Column:
     """The non-blank lines of a page with their numbers and, if asked for, their tokens."""
 
@@ -69,47 +55,101 @@ def _page_lines(text: Column, with_tokens: bool) -> Column:
     return F.filter(F.transform(lines_of(text), entry), lambda x: strip(x["line"]) != "")
 
 
-def _each_row(pages: DataFrame, found, with_tokens: bool = False) -> DataFrame:
-    """``found(row_text, related lines)`` of every pipe-table row: ``(.., row_text, found)``.
-
-    Lines are prepared once per page and rows are matched with them inside the page's array.
-    Only a row's own result leaves the page; its lines are not copied into each row. A row
-    without a signature is related to no line and its result is null.
+#: Matches after which a task hands a batch on.
+BATCH = 50_000
+#: From a row's related lines (places), its text and the page's tokens: the places of the lines
+#: to emit, or None for one row without a line, and the values to emit with them, if any.
+Match = Callable[[list[int], str, list], tuple[list[int] | None, list]]
+
+# Python workers get the index by value, whatever their import path.
+cloudpickle.register_pickle_by_value(page_index)
+
+
+def _matcher(match: Match, keys: list[str], out: list[str], kind: pa.DataType | None):
+    index_of, size = page_index.LineIndex, BATCH
+    of_rows = {"table_no": "table_nos", "row_no": "row_nos", "row_text": "row_texts"}
+    of_lines = {"line_no": "line_nos", "line": "lines"}
+
+    def batch_of(batch: pa.RecordBatch, places, rows, lines, values) -> pa.RecordBatch:
+        at = {"page": pa.array(places, pa.int64()), "row": pa.array(rows, pa.int64()), "line": pa.array(lines, pa.int64())}
+        columns = [batch.column(k).take(at["page"]) for k in keys]
+        for name in out:
+            if name in of_rows:
+                columns.append(batch.column(of_rows[name]).flatten().take(at["row"]))
+            elif name in of_lines:
+                columns.append(batch.column(of_lines[name]).flatten().take(at["line"]))
+            else:
+                columns.append(pa.array(values, kind))
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, *out])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: tuple[list, list, list, list] = ([], [], [], [])
+            names = ("lines", "tokens", "signatures", "row_texts")
+            columns = [batch.column(c).to_pylist() for c in names]
+            row = first = 0
+            for page, (lines, tokens, signatures, texts) in enumerate(zip(*columns, strict=True)):
+                index = index_of(lines, [part for x in signatures for part in x])
+                for signature, text in zip(signatures, texts, strict=True):
+                    if signature:
+                        places, values = match(index.related(signature), text, tokens)
+                        count = len(values) if places is None else len(places)
+                        found[0].extend([page] * count)
+                        found[1].extend([row] * count)
+                        found[2].extend([first + k for k in places or ()])
+                        found[3].extend(values)
+                        if len(found[0]) >= size:
+                            yield batch_of(batch, *found)
+                            found = ([], [], [], [])
+                    row += 1
+                first += len(lines)
+            yield batch_of(batch, *found)
+
+    return run
+
+
+def _each_row(
+    pages: DataFrame, match: Match, out: str, kind: pa.DataType | None = None, with_tokens: bool = False
+) -> DataFrame:
+    """``(.., table_no, row_no, *out)`` for what ``match`` gives of every pipe-table row.
+
+    A row without a signature is related to no line.
     """
 
-    def of_row(lines: Column, cells: Column, table: Column, row: Column) -> Column:
-        def result(x: Column) -> Column:
-            related = F.filter(lines, lambda line: is_related(x["signature"], line["line"]))
-            return F.struct(
-                (table + 1).alias("table_no"),
-                (row + 1).alias("row_no"),
-                x["row_text"].alias("row_text"),
-                F.when(F.size(x["signature"]) > 0, found(x["row_text"], related)).alias("found"),
-            )
-
-        bound = F.struct(
-            row_signature(cells).alias("signature"), F.array_join(cells, " ").alias("row_text")
+    def row(cells: Column, table: Column, number: Column) -> Column:
+        return F.struct(
+            (table + 1).alias("table_no"),
+            (number + 1).alias("row_no"),
+            row_signature(cells).alias("signature"),
+            F.array_join(cells, " ").alias("row_text"),
+        )
+
+    rows = F.flatten(
+        F.transform(
+            C.pipe_tables(F.col("markdown")),
+            lambda table, t: F.transform(table, lambda cells, r: row(cells, t, r)),
         )
-        return let(bound, result)
-
-    of_page = let(
-        F.struct(
-            _page_lines(F.col("markdown"), with_tokens).alias("lines"),
-            C.pipe_tables(F.col("markdown")).alias("tables"),
-        ),
-        lambda page: F.flatten(
-            F.transform(
-                page["tables"],
-                lambda rows, t: F.transform(
-                    rows, lambda cells, r: of_row(page["lines"], cells, t, r)
-                ),
-            )
-        ),
     )
-    rows = pages.filter(F.col("markdown").contains("|")).select(
-        *PAGE, F.explode(of_page).alias("row")
+    lines = _page_lines(F.col("markdown"), with_tokens)
+    with_tables = pages.filter(F.col("markdown").contains("|"))
+    # The generator keeps the optimizer from making lines and rows anew for every field read.
+    both = F.explode(F.array(F.struct(lines.alias("lines"), rows.alias("rows"))))
+    prepared = with_tables.select(*PAGE, both.alias("page"))
+    tokens = F.col("page.lines.tokens") if with_tokens else F.array().cast("array<array<string>>")
+    arrays = prepared.select(
+        *PAGE,
+        F.col("page.lines.line_no").alias("line_nos"),
+        F.col("page.lines.line").alias("lines"),
+        tokens.alias("tokens"),
+        F.col("page.rows.table_no").alias("table_nos"),
+        F.col("page.rows.row_no").alias("row_nos"),
+        F.col("page.rows.signature").alias("signatures"),
+        F.col("page.rows.row_text").alias("row_texts"),
     )
-    return rows.select(*PAGE, "row.table_no", "row.row_no", "row.row_text", "row.found")
+    out = f"table_no int, row_no int, {out}"
+    run = _matcher(match, PAGE, [x.split()[0] for x in out.split(", ")], kind)
+    keys = ", ".join(f"{k} {pages.schema[k].dataType.simpleString()}" for k in PAGE)
+    return arrays.mapInArrow(run, f"{keys}, {out}")
 
 
 ROW = [*PAGE, "table_no", "row_no"]
@@ -132,31 +172,29 @@ def row_signatures(pages: DataFrame) -> DataFrame:
 
 def related_lines(pages: DataFrame) -> DataFrame:
     """Lines of the page that share more than half of a row's signature."""
-    found = _each_row(pages, lambda row_text, related: related)
-    rows = found.select(*ROW, "row_text", F.explode("found").alias("x"))
-    return rows.select(*ROW, "row_text", "x.line_no", "x.line")
+    out = "row_text string, line_no int, line string"
+    return _each_row(pages, lambda found, row_text, tokens: (found, []), out)
 
 
 def candidates(pages: DataFrame) -> DataFrame:
-    """Candidate tokens of each related line."""
+    """Cell-like tokens of each related line that do not occur in the row text."""
+    substrings = page_index.Substrings
 
-    def found(row_text: Column, related: Column) -> Column:
-        return F.transform(
-            related,
-            lambda x: F.struct(x["line_no"], not_in_row(x["tokens"], row_text).alias("tokens")),
-        )
+    def match(found, row_text, tokens):
+        own = substrings(row_text)
+        pairs = [(k, token) for k in found for token in own.without(tokens[k])]
+        return [k for k, _ in pairs], [token for _, token in pairs]
 
-    rows = _each_row(pages, found, with_tokens=True)
-    lines = rows.select(*ROW, F.explode("found").alias("x"))
-    return lines.select(*ROW, "x.line_no", F.explode("x.tokens").alias("candidate"))
+    return _each_row(pages, match, "line_no int, candidate string", pa.string(), with_tokens=True)
 
 
 def missing_row_data(pages: DataFrame) -> DataFrame:
     """Distinct candidates of each row over its related lines, in order of appearance."""
+    substrings = page_index.Substrings
 
-    def found(row_text: Column, related: Column) -> Column:
-        tokens = F.flatten(F.transform(related, lambda x: x["tokens"]))
-        return not_in_row(F.array_distinct(tokens), row_text)
+    def match(found, row_text, tokens):
+        every = dict.fromkeys(token for k in found for token in tokens[k])
+        missing = substrings(row_text).without(every)
+        return None, [missing] if missing else []
 
-    rows = _each_row(pages, found, with_tokens=True)
-    return rows.select(*ROW, F.col("found").alias("missing")).filter(F.size("missing") > 0)
+    return _each_row(pages, match, "missing array<string>", pa.list_(pa.string()), with_tokens=True)
