@@ -17,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagegrid.llm.common import checkpoint, shuffle_partitions, spread_lookup
+from pagegrid.llm.common import shuffle_partitions, spread_lookup, written
 
 ARITY = 2
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 #: Documents whose id's CRC-32 this divides are tampered with.
 TAMPERED = 7
-#: Joins on the way down between two checkpoints.
+#: Joins on the way down between two written tables.
 STRETCH = 6
 NODE = ["group", "at"]
 
@@ -62,7 +62,7 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     # The last key only parts rows that are equal in all others.
     tagged = rows.withColumn("tag", F.monotonically_increasing_id())
     placed = tagged.repartitionByRange(parts, *keys, "tag").sortWithinPartitions(*keys).drop("tag")
-    placed = checkpoint(placed.withColumn("place", F.monotonically_increasing_id()))
+    placed = written(placed.withColumn("place", F.monotonically_increasing_id()), "placed")
     placed = placed.withColumn("part", F.shiftrightunsigned("place", 33))
     ranges = placed.groupBy("group", "part").agg(
         F.count("*").alias("rows"), F.min("place").alias("first")
@@ -124,12 +124,13 @@ def _parents(level: DataFrame, arity: int) -> DataFrame:
 def tree_levels(leaves: DataFrame, arity: int = ARITY) -> list[DataFrame]:
     """The levels of all groups' trees from the leaves (group, at, size, digest) to their roots.
 
-    Each is checkpointed. A group whose tree has ended keeps its root through later levels.
+    Each is written, which computes it once; a checkpoint would do so twice. A group whose
+    tree has ended keeps its root through later levels.
     """
     nodes, levels = leaves.select(*NODE, "size", "digest"), []
     largest = nodes.agg(F.max("size")).first()[0] or 0
     while largest > 1:
-        levels.append(checkpoint(_with_siblings(nodes, arity)))
+        levels.append(written(_with_siblings(nodes, arity), "level"))
         nodes = _parents(levels[-1], arity)
         largest = -(-largest // arity)
     if largest:
@@ -151,7 +152,7 @@ def leaf_paths(levels: list[DataFrame], tops: DataFrame, arity: int = ARITY) ->
         own = F.when(F.col("size") > 1, F.concat(entry, "rest")).otherwise(F.col("rest"))
         above = down.join(above.hint("merge"), ["group", "up"]).select(*NODE, *carried, own.alias("path"))
         if number % STRETCH == 0 and number < len(levels) - 1:
-            above = checkpoint(above)
+            above = written(above, "paths")
     return above
 
 
@@ -181,7 +182,7 @@ def manifest(docs: DataFrame, arity: int = ARITY) -> DataFrame:
         ),
         ["doc_id", "digest"],
     )
-    leaves = checkpoint(leaves)
+    leaves = written(leaves, "leaves")
     levels = tree_levels(leaves, arity)
     if not levels:
         return _shaped(leaves.withColumns({"subroot": empty(), "root": empty(), "path": no_path()}))
@@ -194,7 +195,7 @@ def manifest(docs: DataFrame, arity: int = ARITY) -> DataFrame:
     named = tops.join(paths, NODE).select(
         F.col("name").alias("group"), F.col("digest").alias("subroot"), "path"
     )
-    found = leaf_paths(levels, checkpoint(named), arity)
+    found = leaf_paths(levels, written(named, "tops"), arity)
     rows = leaves.join(found.hint("merge"), NODE).withColumn("root", F.lit(root))
     return _shaped(rows)
 
