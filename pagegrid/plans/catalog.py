@@ -18,7 +18,7 @@ from pagegrid.functions.text import packed
 from pagegrid.operators import context, evaluation, extraction, ledgers, pages, routing
 from pagegrid.operators import scattered, search
 from pagegrid.plans import derived as D
-from pagegrid.sources import readers, writers
+from pagegrid.sources import readers, split_json, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 Source = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +130,17 @@ def _ocr_json(rows: DataFrame) -> DataFrame:
     return readers.response_pages(responses, ["doc_id"])
 
 
+def _split_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of responses that were written one after the other and read by byte ranges.
+
+    Keys are places in files that Spark names, so pages are counted by number and text.
+    """
+    folder = writers.work_folder(spark, "responses")
+    D.response_json(spark, sf_dir).select("json").write.text(folder)
+    rows = split_json.read_split_pages(spark, folder, glob="*.txt")
+    return plain(rows.groupBy("page_no", "markdown").agg(F.count("*").alias("n")))
+
+
 def _ground_truth(rows: DataFrame) -> DataFrame:
     return rows.select("sample_id", readers.ground_truth_text(F.col("pages")).alias("ground_truth"))
 
@@ -244,6 +255,7 @@ def queries() -> dict[str, Query]:
         "missing_row_data": _on(ledger, context.missing_row_data),
         # sources and sinks
         "ocr_json_pages": _on(D.response_json, _ocr_json),
+        "split_response_pages": _split_pages,
         "ground_truth_text": _on(D.annotated_pages, _ground_truth),
         "document_markdown": _on(turns, lambda p: writers.document_markdown(p, few)),
         "document_text": _on(turns, lambda p: evaluation.document_text(p, few)),

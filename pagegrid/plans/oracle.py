@@ -879,6 +879,14 @@ def oracle_sql() -> dict[str, str]:
         page,
         texts="markdown",
     )
+    sql["split_response_pages"] = _select(
+        """SELECT page_no, markdown, count(*) AS n FROM (
+ SELECT unnest(range(1, len(p) + 1)) AS page_no, unnest(p) AS markdown
+ FROM (SELECT string_split(text, chr(10) || chr(10)) AS p FROM documents)
+ UNION ALL SELECT NULL, NULL FROM documents WHERE text IS NULL) GROUP BY ALL""",
+        "page_no n",
+        texts="markdown",
+    )
     word_list = "list_filter(string_split(l, ' '), lambda w: NOT ends_with(w, '.'))"
     sql["ground_truth_text"] = _select(
         f"""SELECT doc_id AS sample_id, {_strip(f'''array_to_string(list_transform(

@@ -32,7 +32,7 @@ def _file_key() -> Column:
     return F.md5("_metadata.file_path")
 
 
-def _stem(path: Column, suffix: str = r"\.[^.]*\z") -> Column:
+def stem(path: Column, suffix: str = r"\.[^.]*\z") -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), suffix, "")
 
 
@@ -47,7 +47,7 @@ def scan_docs(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     )
     return files.select(
         F.md5("path").alias("doc_id"),
-        _stem(F.col("path")).alias("name"),
+        stem(F.col("path")).alias("name"),
         F.col("length").alias("size_bytes"),
         size_mb(F.col("length")).alias("size_mb"),
     )
@@ -99,7 +99,7 @@ def read_responses(
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(path)
     )
-    key, name = _file_key(), _stem(F.col("_metadata.file_path"))
+    key, name = _file_key(), stem(F.col("_metadata.file_path"))
     if lines:
         place = F.concat_ws(":", "_metadata.file_path", F.monotonically_increasing_id())
         key, name = F.md5(place), F.concat_ws("_", name, F.md5(place))
@@ -155,6 +155,6 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(GROUND_TRUTH).option("multiLine", "true").json(path)
     return files.select(
         _file_key().alias("sample_id"),
-        _stem(F.col("_metadata.file_path"), r"(\.json)?(\.gz)?\z").alias("name"),
+        stem(F.col("_metadata.file_path"), r"(\.json)?(\.gz)?\z").alias("name"),
         ground_truth_text(F.col("pages")).alias("ground_truth"),
     )

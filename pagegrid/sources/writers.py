@@ -7,7 +7,10 @@ document's file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagegrid.functions.text import div
@@ -18,6 +21,19 @@ from pagegrid.operators.routing import DOCUMENT_TITLE
 PAGES_PER_PART = 64
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``.
+
+    A temporary folder takes its place only where driver and executors are one process.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="pagegrid-work-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _part_no(pages_per_part: int) -> Column:
     """A document without pages has the part 0, which is empty."""
     return F.coalesce(div(F.col("page_no") - 1, pages_per_part), F.lit(0)).alias("part_no")
