@@ -34,11 +34,16 @@ EXHAUSTIVE = 6
 #: Least share of the best codeword against the second best.
 MARGIN = 0.55
 UNDETERMINED = "und"
+#: Letters, and numbers such as fractions, which ``has_letter`` tells from them.
 LETTER = re.compile(r"[^\W\d_]")
 #: Letters and bytes of other alphabets stay, all else is one kind of gap.
 KEPT = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    return any(found[0].isalpha() for found in LETTER.finditer(text))
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     name = F.coalesce(doc_id.cast("string"), F.lit(""))
     return F.pmod(F.crc32(name), F.lit(parts)) == part
@@ -85,7 +90,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, share of the best codeword, and whether the second best is close."""
-        if not self.languages or text is None or not LETTER.search(text):
+        if not self.languages or text is None or not has_letter(text):
             return UNDETERMINED, 0.0, False
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False

@@ -48,7 +48,8 @@ SCHEMA = (
     "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, "
     "payload_bytes bigint, payload string"
 )
-COMMITTED = "_files.json"
+#: Every commit leaves a list of its files, under a name of its own that starts so.
+COMMITTED = "_files"
 #: Bytes after which a task starts its next file, so that no file outgrows a reading task.
 FILE_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -115,6 +116,12 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def commit_lists(store: fs.FileSystem, folder: str) -> list[str]:
+    """Paths of the lists of files that commits have left in a folder."""
+    found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return sorted(x.path for x in found if x.base_name.startswith(COMMITTED))
+
+
 # Writing ---------------------------------------------------------------------------------------
 
 
@@ -124,8 +131,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, file_bytes: int) -> None:
-        self.path, self.file_bytes = path, file_bytes
+    def __init__(self, path: str, file_bytes: int, overwrite: bool = False) -> None:
+        self.path, self.file_bytes, self.overwrite = path, file_bytes, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         """Each task writes files under names of its own; only those it reports count."""
@@ -152,8 +159,13 @@ class WarcWriter(DataSourceArrowWriter):
         store, folder = _open(self.path)
         store.create_dir(folder, recursive=True)
         files = sorted(f for m in messages if m is not None for f in m.files)
-        with store.open_output_stream(f"{folder}/{COMMITTED}", compression=None) as out:
+        earlier = commit_lists(store, folder) if self.overwrite else []
+        name = f"{folder}/{COMMITTED}-{uuid.uuid4().hex}.json"
+        with store.open_output_stream(name, compression=None) as out:
             out.write(json.dumps(files).encode())
+        # Files in no list are never read.
+        for path in earlier:
+            store.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         """Nothing is committed: the files are in no list and are never read."""
@@ -276,10 +288,11 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[ArchiveFile]:
         store, folder = _open(self.path)
-        if store.get_file_info(f"{folder}/{COMMITTED}").type == fs.FileType.File:
-            with store.open_input_stream(f"{folder}/{COMMITTED}", compression=None) as file:
-                names = json.loads(file.read())
-        else:
+        lists, names = commit_lists(store, folder), []
+        for path in lists:
+            with store.open_input_stream(path, compression=None) as file:
+                names += json.loads(file.read())
+        if not lists:
             found = store.get_file_info(fs.FileSelector(folder))
             names = sorted(x.base_name for x in found if x.base_name.endswith(".warc.gz"))
         return [ArchiveFile(f"{self.path.rstrip('/')}/{name}") for name in names] or [ArchiveFile("")]
@@ -335,7 +348,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], self.options.get("payload", "text"))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"], int(self.options.get("file_bytes", FILE_BYTES)))
+        return WarcWriter(self.options["path"], int(self.options.get("file_bytes", FILE_BYTES)), overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -257,12 +257,12 @@ def test_language(spark, docs, empty):
     words = {"en": "the of and that with this", "de": "der die und nicht auch mit", "fr": "le la et dans pour avec"}
     rng = np.random.default_rng(5)
     rows = [(k, " ".join(rng.choice(words[g].split(), 30)), g) for k in range(300) for g in [list(words)[k % 3]]]
-    table = spark.createDataFrame([*rows, (900, None, "en"), (901, "12 !", None)], "doc_id bigint, text string, lang string")
+    table = spark.createDataFrame([*rows, (900, None, "en"), (901, "12 !", None), (902, "½ ² ① Ⅷ", None)], "doc_id bigint, text string, lang string")
     found = {r.doc_id: r for r in language.predict_language(table).collect()}
     held = [(k, g) for k, _, g in rows if zlib.crc32(str(k).encode()) % 3 == 1]
     assert all(found[k].held_out for k, _ in held)
     assert np.mean([found[k].lang_pred == g for k, g in held]) > 0.97
-    assert found[900].lang_pred == found[901].lang_pred == "und"
+    assert {found[k].lang_pred for k in (900, 901, 902)} == {"und"}
     kept = language.keep_identified(table)
     assert kept.columns == table.columns and kept.count() >= 297
     assert language.predict_language(empty).count() == 0
@@ -338,5 +338,13 @@ def test_warc(spark, tmp_path):
     assert found[9].url == "u v" and found[9].payload == "" and found[None].refers_to == 9
     one = warc.read_records(spark, path).where("record_type = 'revisit' and page_id in (5, 7)")
     assert [r.page_id for r in one.collect()] == [5]
+    twice = path + "-twice"
+    for half in ("page_id % 2 = 0", "page_id % 2 = 1 or page_id is null"):
+        warc.write_pages(pages.where(half), twice)
+    assert warc.read_records(spark, twice).count() == pages.count()
+    records = warc.page_records(pages.where("page_id % 2 = 1"))
+    records.write.format("warc").mode("overwrite").save(twice)
+    assert warc.read_records(spark, twice).where("page_id % 2 = 0").count() == 0
+    assert warc.read_records(spark, twice).count() == records.count()
     warc.write_pages(pages.where("false"), path + "-none")
     assert warc.read_records(spark, path + "-none").count() == 0
