@@ -58,6 +58,8 @@ def block_running_sum(
 
     A key's rows are cut into blocks of consecutive ``order`` values (unique per key), so
     one huge key is summed by many tasks. ``block_no`` is kept for further work per block.
+    Blocks are as many as keys or more, so they meet the rows by a merge join: on a size check
+    alone they would be gathered on the driver and broadcast while they are just small enough.
     """
     rows = rows.withColumn("block_no", div(F.col(order), block))
     sums = rows.groupBy(key, "block_no").agg(
@@ -75,7 +77,7 @@ def block_running_sum(
     inside = Window.partitionBy(key, "block_no").orderBy(order)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.join(blocks, [key, "block_no"])
+        rows.join(blocks.hint("merge"), [key, "block_no"])
         .withColumns(
             {
                 "sum_before": F.col("_sum_offset")

@@ -161,7 +161,8 @@ def resolution_tier(pages: DataFrame) -> DataFrame:
     firsts = firsts.withColumn("first_over", F.min("first_over").over(so_far))
     low = ~F.col("flagged") & F.coalesce(F.col("page_no") >= F.col("first_over"), F.lit(False))
     tier = lambda i: F.when(low, LOW_TIER[i]).otherwise(HIGH_TIER[i])
-    return checked.join(firsts, ["doc_id", "block_no"]).select(
+    # As in the running sum, blocks are as many as documents: never gathered on the driver.
+    return checked.join(firsts.hint("merge"), ["doc_id", "block_no"]).select(
         "doc_id", "page_no", "flagged", tier(0).alias("scale"), tier(1).alias("dpi")
     )
 

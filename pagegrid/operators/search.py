@@ -6,13 +6,14 @@ generate on it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import prod
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegrid.functions.text import div, linspace
+from pagegrid.functions.text import div, linspace, linspace_at
 from pagegrid.operators.ranking import seeded_key
 
 SEED = 42
@@ -71,17 +72,24 @@ BROAD = {
 
 
 class Range(NamedTuple):
-    """Values one parameter may take, as an array column, and how many there are."""
+    """Values one parameter may take, as an array column, how many there are, and the value at a
+    0-based position, which costs no array where the values are evenly spaced."""
 
     values: Column
     count: int
+    at: Callable[[Column], Column]
+
+
+def _even(low: Column, high: Column, count: int) -> Range:
+    return Range(linspace(low, high, count), count, lambda i: linspace_at(low, high, count, i))
 
 
 def _range(spec: list | tuple) -> Range:
     if isinstance(spec, tuple):
         low, high, count = spec
-        return Range(linspace(F.lit(low), F.lit(high), count), count)
-    return Range(F.array(*[F.lit(float(v)) for v in spec]), len(spec))
+        return _even(F.lit(low), F.lit(high), count)
+    values = F.array(*[F.lit(float(v)) for v in spec])
+    return Range(values, len(spec), lambda i: F.get(values, i))
 
 
 def params_with_defaults(params: DataFrame, defaults: dict[str, float] = DEFAULTS) -> DataFrame:
@@ -97,7 +105,7 @@ def params_with_defaults(params: DataFrame, defaults: dict[str, float] = DEFAULT
 def focused_ranges() -> dict[str, Range]:
     """Ranges around the baseline's own values, plus the listed ones."""
     around = {
-        k: Range(linspace(F.col(k) - half, F.col(k) + half, n), n)
+        k: _even(F.col(k) - half, F.col(k) + half, n)
         for k, (half, n) in FOCUSED_SPREAD.items()
     }
     return around | {k: _range(v) for k, v in FOCUSED_LISTS.items()}
@@ -156,7 +164,7 @@ def full_grid(
     for name, r in ranges.items():
         stride //= r.count
         digit = div(F.col("combo_id"), stride).cast("int") % r.count
-        picked.append(F.get(r.values, digit).alias(name))
+        picked.append(r.at(digit).alias(name))
     return baselines.select("*", index.alias("combo_id")).select("set_id", "combo_id", *picked)
 
 
@@ -171,7 +179,7 @@ def random_picks(
     def pick(name: str, r: Range) -> Column:
         key = seeded_key(F.col("set_id"), F.col("combo_id"), name, seed)
         number = F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint")
-        return F.get(r.values, (number % r.count).cast("int")).alias(name)
+        return r.at((number % r.count).cast("int")).alias(name)
 
     return combos.select("set_id", "combo_id", *[pick(k, r) for k, r in ranges.items()])
 
