@@ -11,7 +11,7 @@ edges of repeated passages) go to a shard of that hash: a suffix array by Larsso
 refinement, Kasai common prefixes, and windows of one class (``LENGTH`` bytes in common, same
 hash, same place by the anchor) are equal. A hash with more contexts than a shard should hold is
 dealt out over several; these send the digests of their distinct windows, in order, to owners
-of digest ranges, who merge the shards' runs by binary search.
+of digest ranges, who sort the shards' runs together.
 
 The answer for a text depends on the bytes around, not on its row: spans are found per distinct
 text and given to all rows that have it. Anchors of equal texts are added up before they meet.
@@ -24,8 +24,8 @@ no rows. Texts of any length are walked in blocks. Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,12 @@ LENGTH = 200
 SHARD = 2048
 #: Window digests that an owner should merge.
 OWNER = 1 << 20
+#: Contexts that are handed on together.
+CUTS = 1 << 14
 #: Places judged at a time, and bits that number them in a hash.
 BLOCK, PLACE = 1 << 16, np.uint64(17)
+#: Bytes of texts that are walked in a row.
+GROUP = 1 << 20
 ONE = np.uint64(1)
 SEED = 200
 
@@ -84,21 +88,39 @@ class Anchors:
 
     def of(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of the anchors of all windows of ``data``."""
-        letters = np.frombuffer(data, np.uint8)
-        places, marks = [], []
+        _, places, marks = self.of_all([data])
+        return places, marks
+
+    def of_all(self, datas: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the string, place in it and hash of the anchors of all windows of many.
+
+        Strings are walked in a row, which costs as little for many short ones as for a long
+        one; windows over the end of a string are left out.
+        """
+        letters = np.frombuffer(b"".join(datas), np.uint8)
+        sizes = np.array([len(d) for d in datas], np.int64)
+        ends = np.cumsum(sizes)
+        places, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for at in range(0, max(0, len(letters) - self.length + 1), BLOCK):
             part = letters[at : at + BLOCK + self.length - 1]
             own = self.hashes(part)
             # Low bits number the places backwards: the least of equal hashes is the last one.
             number = np.arange(len(own), 0, -1, dtype=np.uint64)
-            least = np.unique(self._minima(own >> PLACE << PLACE | number))
+            least = self._minima(own >> PLACE << PLACE | number)
+            inside = np.ones(len(least), bool)
+            for end in ends[np.searchsorted(ends, at) : np.searchsorted(ends, at + len(part))].tolist():
+                inside[max(0, end - self.length + 1 - at) : max(0, end - at)] = False
+            least = least[inside]
             place = len(own) - (least & ((ONE << PLACE) - ONE)).astype(np.int64)
+            # Anchors of windows in a row never go back: equal ones are neighbours.
+            place = place[np.append(True, place[1:] != place[:-1])[: len(place)]]
             places.append(place + at)
             marks.append(own[place])
-        if not places:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        place, first = np.unique(np.concatenate(places), return_index=True)
-        return place, np.concatenate(marks)[first]
+        place, mark = np.concatenate(places), np.concatenate(marks)
+        new = np.append(True, place[1:] != place[:-1])[: len(place)]
+        place, mark = place[new], mark[new]
+        owner = np.searchsorted(ends, place, "right")
+        return owner, place - (ends - sizes)[owner], mark
 
     def _minima(self, values: np.ndarray) -> np.ndarray:
         """The least of every ``window`` values in a row, by running minima of blocks."""
@@ -110,28 +132,32 @@ class Anchors:
         back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
         return np.minimum(back[: size - width + 1], ahead[width - 1 : size])
 
-    def context(self, place: int, size: int) -> tuple[int, int]:
-        return max(0, place - self.window + 1), min(size, place + self.length)
-
 
 def _halves(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
 
 
-def _digest(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
-
-
 def _batch(names: list[str], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
+def _groups(datas: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Strings in a row of some ``GROUP`` bytes together, and the number of the first one."""
+    first, size = 0, 0
+    for k, data in enumerate(datas):
+        size += len(data)
+        if size >= GROUP:
+            yield first, datas[first : k + 1]
+            first, size = k + 1, 0
+    yield first, datas[first:]
+
+
 def _hash_counter(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, parts, size = Anchors(length), [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                parts.append(anchors.of(text.encode())[1])
+            for _, datas in _groups(batch.column("text").cast(pa.large_binary()).to_pylist()):
+                parts.append(anchors.of_all(datas)[2])
                 size += len(parts[-1])
                 if size >= OWNER:
                     yield _counted(parts)
@@ -148,25 +174,21 @@ def _counted(parts: list[np.ndarray]) -> pa.RecordBatch:
 
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(length)
+        anchors, reach = Anchors(length), _reach(length)
+        leads = [b"%d:" % k for k in range(reach + 1)]
         for batch in batches:
-            columns = [[] for _ in range(6)]
-            for t1, t2, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                data = text.encode()
-                places, marks = anchors.of(data)
-                if not len(places):
-                    continue
-                digests = []
-                for place in places.tolist():
-                    low, high = anchors.context(place, len(data))
-                    digests.append(_digest(b"%d:%b" % (place - low, data[low:high])))
+            t1, t2 = (batch.column(k).to_numpy() for k in range(2))
+            for first, datas in _groups(batch.column("text").cast(pa.large_binary()).to_pylist()):
+                owner, places, marks = anchors.of_all(datas)
+                lows = np.maximum(places - reach, 0)
+                digests = [
+                    blake2b(leads[place - low] + datas[k][low : place + length], digest_size=16).digest()
+                    for k, place, low in zip(owner.tolist(), places.tolist(), lows.tolist(), strict=True)
+                ]
                 both = _halves(digests)
-                same = np.ones(len(places), np.int64)
-                new = [marks.view(np.int64), both[:, 0], both[:, 1], same * t1, same * t2, places]
-                for column, values in zip(columns, new, strict=True):
-                    column.append(values)
-            none = [np.zeros(0, np.int64)]
-            yield _batch([*CONTEXT, *TEXT, "at"], [np.concatenate(none + c) for c in columns])
+                own = first + owner
+                columns = [marks.view(np.int64), both[:, 0], both[:, 1], t1[own], t2[own], places]
+                yield _batch([*CONTEXT, *TEXT, "at"], columns)
 
     return run
 
@@ -187,14 +209,23 @@ def _cutter(length: int):
     """From texts and the anchors asked for: each anchor's context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, unpack = Anchors(length), zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for code, asked in zip(batch.column("code"), batch.column("asked"), strict=True):
-                data, rows = unpack.decompress(code.as_py()), asked.as_py()
-                for row in rows:
-                    low, high = anchors.context(row["at"], len(data))
-                    row |= {"low": low, "context": data[low:high]}
-                yield pa.RecordBatch.from_pylist(rows, CUT)
+            asked = batch.column("asked")
+            rows = pa.RecordBatch.from_struct_array(asked.flatten())
+            at = rows.column("at").to_numpy()
+            low = np.maximum(at - _reach(length), 0)
+            lows, highs = low.tolist(), (at + length).tolist()
+            contexts, done = [], 0
+            ends = np.cumsum(asked.value_lengths().to_numpy()).tolist()
+            for code, first, end in zip(batch.column("code"), [0, *ends], ends, strict=False):
+                data = unpack.decompress(code.as_py())
+                contexts += [data[lows[k] : highs[k]] for k in range(first, end)]
+                if len(contexts) >= CUTS or end == len(at):
+                    own = rows.slice(done, end - done)
+                    more = {"low": pa.array(low[done:end]), "context": pa.array(contexts, pa.binary())}
+                    yield pa.RecordBatch.from_arrays([more[c] if c in more else own.column(c) for c in CUT.names], schema=CUT)
+                    contexts, done = [], end
 
     return run
 
@@ -243,7 +274,7 @@ def _searcher(length: int):
         sent = np.sort(first)
         sent = sent[split[part[sent]]]
         marks = [
-            _digest(b"%d:%d:%b" % (g, p, parts[k][s : s + length]))
+            blake2b(b"%d:%d:%b" % (g, p, parts[k][s : s + length]), digest_size=16).digest()
             for g, p, k, s in zip(
                 rows["hash"].to_numpy()[part[sent]].tolist(), place[sent].tolist(), part[sent].tolist(), step[sent].tolist(), strict=True
             )
@@ -264,22 +295,19 @@ def _searcher(length: int):
 
 
 def _merge(rows: pa.Table) -> pa.Table:
-    """Windows that ask and that another shard has: run by run, searched in those before."""
+    """Windows that ask and that another shard has."""
     d1, d2, shard = (rows[c].to_numpy() for c in ("d1", "d2", "shard"))
-    order = np.lexsort((d2, d1))
-    fresh = np.ones(len(order), np.int64)
-    fresh[1:] = (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(fresh) - 1
-    seen, met = np.zeros(0, np.int64), np.zeros(len(order), bool)
-    for one in np.unique(shard):
-        run = np.unique(number[shard == one])
-        place = np.minimum(np.searchsorted(seen, run), max(0, len(seen) - 1))
-        if len(seen):
-            met[run[seen[place] == run]] = True
-        seen = np.union1d(seen, run)
-    asks = np.array(rows["asks"].to_pylist(), bool)
-    return rows.select([*TEXT, "start", "stop"]).filter(pa.array(asks & met[number]))
+    order = np.argsort(d1)
+    near = d1[order][1:] == d1[order][:-1]
+    if (near & (d2[order][1:] != d2[order][:-1])).any():
+        order = np.lexsort((d2, d1))
+        near = (d1[order][1:] == d1[order][:-1]) & (d2[order][1:] == d2[order][:-1])
+    # A shard sends a window once, so that equal neighbours are of two shards.
+    met = np.zeros(len(order), bool)
+    met[order[1:][near]] = True
+    met[order[:-1][near]] = True
+    asks = rows["asks"].to_numpy()
+    return rows.select([*TEXT, "start", "stop"]).filter(pa.array(asks & met))
 
 
 def text_halves(text: Column) -> list[Column]:
@@ -302,12 +330,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) ->
     repeated = counts.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
     ddl = ", ".join(f"{c} bigint" for c in (*CONTEXT, *TEXT, "at"))
     rows = keyed.mapInArrow(_anchor_rows(length), ddl).join(repeated, "hash", "leftsemi")
-    places = checkpoint(rows.groupBy(*CONTEXT, *TEXT, "at").agg(F.count("*").alias("n")))
-    contexts = checkpoint(
-        places.groupBy(*CONTEXT).agg(
-            F.sum("n").alias("n"), F.min(F.struct(*TEXT, "at")).alias("first")
-        )
+    places = written(rows.groupBy(*CONTEXT, *TEXT, "at").agg(F.count("*").alias("n")), "places")
+    contexts = places.groupBy(*CONTEXT).agg(
+        F.sum("n").alias("n"), F.min(F.struct(*TEXT, "at")).alias("first")
     )
+    contexts = written(contexts, "contexts")
     whole = contexts.where("n > 1").select(*CONTEXT, F.lit(True).alias("whole"))
     covered = spread_lookup(places, whole, CONTEXT, F.xxhash64(*TEXT, "at")).where("whole")
     covered = covered.select(
@@ -353,25 +380,34 @@ def _reach(length: int) -> int:
     return length - max(1, length // 4)
 
 
+def _merged(spans: pa.ListArray) -> tuple[list[int], list[int], list[int]]:
+    """Spans that overlap or touch as one, in order: starts, stops, and by list the end of its own."""
+    counts = spans.value_lengths().fill_null(0).to_numpy()
+    start, stop = (x.to_numpy() for x in spans.flatten().flatten())
+    row = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((start, row))
+    start, stop = start[order], stop[order]
+    # Stops so far, with lists apart from each other.
+    apart = row * (stop.max(initial=0) + 1)
+    ahead = np.maximum.accumulate(stop + apart)
+    fresh = np.ones(len(start), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (start[1:] + apart[1:] > ahead[:-1])
+    heads = np.flatnonzero(fresh)
+    tails = np.append(heads[1:], len(start))[: len(heads)] - 1
+    ends = np.searchsorted(row[heads], np.arange(len(counts)), "right")
+    return start[heads].tolist(), (ahead - apart)[tails].tolist(), ends.tolist()
+
+
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         texts, counts = [], []
-        for code, spans in zip(batch.column("code"), batch.column("spans").to_pylist(), strict=True):
+        starts, stops, ends = _merged(batch.column("spans"))
+        for code, first, end in zip(batch.column("code"), [0, *ends], ends, strict=False):
             data = unpack.decompress(code.as_py())
-            kept, at, removed, runs = [], 0, 0, 0
-            for start, stop in sorted((s["start"], s["stop"]) for s in spans or ()):
-                stop = min(stop, len(data))
-                if stop <= at:
-                    continue
-                if start > at or not runs:
-                    kept.append(data[at:start])
-                    runs += 1
-                removed += stop - max(start, at)
-                at = stop
-            kept.append(data[at:])
-            texts.append(b"".join(kept))
-            counts.append((len(data), removed, runs))
+            keeps = zip([0, *stops[first:end]], [*starts[first:end], len(data)], strict=True)
+            texts.append(b"".join([data[x:y] for x, y in keeps]))
+            counts.append((len(data), len(data) - len(texts[-1]), end - first))
         columns = list(zip(*counts, strict=True)) or [()] * 3
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns], pa.array(texts, pa.binary())],
