@@ -1,9 +1,9 @@
 """Look for values that belong to a table row elsewhere on its page.
 
-Lines, rows and tokens are made by built-in functions. Rows and lines of a page meet inside the
-page's task, in an index of the page's lines (``page_index``), so only matches are ever emitted
-and a page costs its length plus its matches, not rows times lines. Built-in functions have no
-keyed look-up inside an array, so this step runs by Arrow batches in Python.
+Rows and lines of a page meet inside the page's task, in an index of the page's lines
+(``page_index``), so only matches are ever emitted and a page costs its length plus its matches, not
+rows times lines. Built-in functions have no keyed look-up inside an array, so this step runs by Arrow
+batches in Python, which also reads the rows and the tokens it needs out of the text (``page_scan``).
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegrid.functions import cells as C
-from pagegrid.functions import page_index
+from pagegrid.functions import page_index, page_scan
 from pagegrid.functions.lines import looks_like_tabular
-from pagegrid.functions.text import lines_of, strip, words
+from pagegrid.functions.text import strip, words
 from pagegrid.operators.pages import PAGE
 
 
@@ -45,111 +45,74 @@ def cell_tokens(line: Column) -> Column:
     return F.filter(tokens, lambda t: (t != "") & looks_like_tabular(t))
 
 
-def _page_lines(text: Column, with_tokens: bool) -> Column:
-    """The non-blank lines of a page with their numbers and, if asked for, their tokens."""
-
-    def entry(line: Column, i: Column) -> Column:
-        fields = [i.alias("line_no"), line.alias("line")]
-        return F.struct(*fields, *([cell_tokens(line).alias("tokens")] if with_tokens else []))
-
-    return F.filter(F.transform(lines_of(text), entry), lambda x: strip(x["line"]) != "")
-
-
 #: Matches after which a task hands a batch on.
 BATCH = 50_000
-#: From a row's related lines (places), its text and the page's tokens: the places of the lines
-#: to emit, or None for one row without a line, and the values to emit with them, if any.
-Match = Callable[[list[int], str, list], tuple[list[int] | None, list]]
+#: Pages whose texts and matches a task holds as Python values at a time.
+PAGES = 256
+#: From the lines related to a row, the row's own line and cells, the page's lines and their tokens:
+#: the values to emit.
+Match = Callable[[list[int], int, list[str], list[str], page_scan.LineTokens], list[tuple]]
 
-# Python workers get the index by value, whatever their import path.
+# Python workers get these by value, whatever their import path.
 cloudpickle.register_pickle_by_value(page_index)
-
-
-def _matcher(match: Match, keys: list[str], out: list[str], kind: pa.DataType | None):
-    index_of, size = page_index.LineIndex, BATCH
-    of_rows = {"table_no": "table_nos", "row_no": "row_nos", "row_text": "row_texts"}
-    of_lines = {"line_no": "line_nos", "line": "lines"}
-
-    def batch_of(batch: pa.RecordBatch, places, rows, lines, values) -> pa.RecordBatch:
-        at = {"page": pa.array(places, pa.int64()), "row": pa.array(rows, pa.int64()), "line": pa.array(lines, pa.int64())}
-        columns = [batch.column(k).take(at["page"]) for k in keys]
-        for name in out:
-            if name in of_rows:
-                columns.append(batch.column(of_rows[name]).flatten().take(at["row"]))
-            elif name in of_lines:
-                columns.append(batch.column(of_lines[name]).flatten().take(at["line"]))
-            else:
-                columns.append(pa.array(values, kind))
-        return pa.RecordBatch.from_arrays(columns, names=[*keys, *out])
+cloudpickle.register_pickle_by_value(page_scan)
+
+
+def _matcher(match: Match, keys: list[str], kinds: list[pa.DataType], names: list[str]):
+    index_of, most, size = page_index.LineIndex, PAGES, BATCH
+    tables_of, signature_of, tokens_of = page_scan.numbered_tables, page_scan.signature, page_scan.LineTokens
+
+    def matches(text: str) -> Iterator[tuple]:
+        lines = text.split("\n")
+        tables = tables_of(lines)
+        if not tables:
+            return
+        # Parts of a signature are not blank, so no blank line is related to a row.
+        signatures = [[signature_of(cells) for cells in table] for _, table in tables]
+        index = index_of(lines, [part for table in signatures for x in table for part in x])
+        tokens = tokens_of(lines)
+        for number, ((places, table), asked) in enumerate(zip(tables, signatures, strict=True), 1):
+            for row, signature in enumerate(asked):
+                if signature:
+                    for values in match(index.related(signature), places[row], table[row], lines, tokens):
+                        yield number, row + 1, *values
+
+    def batch_of(batch: pa.RecordBatch, places: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        at = pa.array(places, pa.int64())
+        values = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        columns = [pa.array(v, kind) for v, kind in zip(values, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: tuple[list, list, list, list] = ([], [], [], [])
-            names = ("lines", "tokens", "signatures", "row_texts")
-            columns = [batch.column(c).to_pylist() for c in names]
-            row = first = 0
-            for page, (lines, tokens, signatures, texts) in enumerate(zip(*columns, strict=True)):
-                index = index_of(lines, [part for x in signatures for part in x])
-                for signature, text in zip(signatures, texts, strict=True):
-                    if signature:
-                        places, values = match(index.related(signature), text, tokens)
-                        count = len(values) if places is None else len(places)
-                        found[0].extend([page] * count)
-                        found[1].extend([row] * count)
-                        found[2].extend([first + k for k in places or ()])
-                        found[3].extend(values)
-                        if len(found[0]) >= size:
-                            yield batch_of(batch, *found)
-                            found = ([], [], [], [])
-                    row += 1
-                first += len(lines)
-            yield batch_of(batch, *found)
+            for start in range(0, batch.num_rows, most):
+                part = batch.slice(start, most)
+                places: list[int] = []
+                rows: list[tuple] = []
+                for page, text in enumerate(part.column("markdown").to_pylist()):
+                    for row in matches(text):
+                        places.append(page)
+                        rows.append(row)
+                        if len(rows) >= size:
+                            yield batch_of(part, places, rows)
+                            places, rows = [], []
+                if rows:
+                    yield batch_of(part, places, rows)
 
     return run
 
 
-def _each_row(
-    pages: DataFrame, match: Match, out: str, kind: pa.DataType | None = None, with_tokens: bool = False
-) -> DataFrame:
+def _each_row(pages: DataFrame, match: Match, out: str, *kinds: pa.DataType) -> DataFrame:
     """``(.., table_no, row_no, *out)`` for what ``match`` gives of every pipe-table row.
 
     A row without a signature is related to no line.
     """
-
-    def row(cells: Column, table: Column, number: Column) -> Column:
-        return F.struct(
-            (table + 1).alias("table_no"),
-            (number + 1).alias("row_no"),
-            row_signature(cells).alias("signature"),
-            F.array_join(cells, " ").alias("row_text"),
-        )
-
-    rows = F.flatten(
-        F.transform(
-            C.pipe_tables(F.col("markdown")),
-            lambda table, t: F.transform(table, lambda cells, r: row(cells, t, r)),
-        )
-    )
-    lines = _page_lines(F.col("markdown"), with_tokens)
-    with_tables = pages.filter(F.col("markdown").contains("|"))
-    # The generator keeps the optimizer from making lines and rows anew for every field read.
-    both = F.explode(F.array(F.struct(lines.alias("lines"), rows.alias("rows"))))
-    prepared = with_tables.select(*PAGE, both.alias("page"))
-    tokens = F.col("page.lines.tokens") if with_tokens else F.array().cast("array<array<string>>")
-    arrays = prepared.select(
-        *PAGE,
-        F.col("page.lines.line_no").alias("line_nos"),
-        F.col("page.lines.line").alias("lines"),
-        tokens.alias("tokens"),
-        F.col("page.rows.table_no").alias("table_nos"),
-        F.col("page.rows.row_no").alias("row_nos"),
-        F.col("page.rows.signature").alias("signatures"),
-        F.col("page.rows.row_text").alias("row_texts"),
-    )
     out = f"table_no int, row_no int, {out}"
-    run = _matcher(match, PAGE, [x.split()[0] for x in out.split(", ")], kind)
+    names = [*PAGE, *(x.split()[0] for x in out.split(", "))]
+    run = _matcher(match, PAGE, [pa.int32(), pa.int32(), *kinds], names)
     keys = ", ".join(f"{k} {pages.schema[k].dataType.simpleString()}" for k in PAGE)
-    return arrays.mapInArrow(run, f"{keys}, {out}")
+    with_tables = pages.filter(F.col("markdown").contains("|")).select(*PAGE, "markdown")
+    return with_tables.mapInArrow(run, f"{keys}, {out}")
 
 
 ROW = [*PAGE, "table_no", "row_no"]
@@ -172,29 +135,41 @@ def row_signatures(pages: DataFrame) -> DataFrame:
 
 def related_lines(pages: DataFrame) -> DataFrame:
     """Lines of the page that share more than half of a row's signature."""
+
+    def match(found, own, cells, lines, tokens):
+        text = " ".join(cells)
+        return [(text, k, lines[k]) for k in found]
+
     out = "row_text string, line_no int, line string"
-    return _each_row(pages, lambda found, row_text, tokens: (found, []), out)
+    return _each_row(pages, match, out, pa.string(), pa.int32(), pa.string())
+
+
+# A row's own line is always related to it and lacks nothing: a cell-like token holds neither a
+# blank nor a pipe, so it lies inside one cell.
 
 
 def candidates(pages: DataFrame) -> DataFrame:
     """Cell-like tokens of each related line that do not occur in the row text."""
     substrings = page_index.Substrings
 
-    def match(found, row_text, tokens):
-        own = substrings(row_text)
-        pairs = [(k, token) for k in found for token in own.without(tokens[k])]
-        return [k for k, _ in pairs], [token for _, token in pairs]
+    def match(found, own, cells, lines, tokens):
+        if found == [own]:
+            return []
+        row = substrings(" ".join(cells))
+        return [(k, token) for k in found if k != own for token in row.without(tokens[k])]
 
-    return _each_row(pages, match, "line_no int, candidate string", pa.string(), with_tokens=True)
+    return _each_row(pages, match, "line_no int, candidate string", pa.int32(), pa.string())
 
 
 def missing_row_data(pages: DataFrame) -> DataFrame:
     """Distinct candidates of each row over its related lines, in order of appearance."""
     substrings = page_index.Substrings
 
-    def match(found, row_text, tokens):
-        every = dict.fromkeys(token for k in found for token in tokens[k])
-        missing = substrings(row_text).without(every)
-        return None, [missing] if missing else []
+    def match(found, own, cells, lines, tokens):
+        if found == [own]:
+            return []
+        every = [token for k in found if k != own for token in tokens[k]]
+        missing = substrings(" ".join(cells)).without(dict.fromkeys(every))
+        return [(missing,)] if missing else []
 
-    return _each_row(pages, match, "missing array<string>", pa.list_(pa.string()), with_tokens=True)
+    return _each_row(pages, match, "missing array<string>", pa.list_(pa.string()))
