@@ -82,7 +82,7 @@ def test_values_of_other_lines_are_found_one_by_one(spark):
 
 
 @pytest.mark.parametrize(
-    "operator", [context.missing_row_data]
+    "operator", [context.candidates, context.missing_row_data]
 )
 def test_no_lambda_is_interpreted_per_line(spark, operator):
     plan = operator(frame(spark, ["| a | b |"]))._jdf.queryExecution().optimizedPlan().toString()
