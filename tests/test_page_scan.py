@@ -9,8 +9,10 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from pagegrid.functions import cells as C
 from pagegrid.functions import page_index, page_scan
-from pagegrid.operators import context
+from pagegrid.functions import patterns as P
+from pagegrid.operators import context, extraction
 
 # No digits beyond the basic plane: a look-behind of the built-in functions sees half of such a character.
 PARTS = (
@@ -44,6 +46,32 @@ def frame(spark, pages):
     return spark.createDataFrame(rows, "doc_id bigint, page_no int, markdown string").repartition(8)
 
 
+def by_columns(text):
+    """Tables as the built-in functions find them."""
+    found = F.concat(*[method(text) for method in extraction.METHODS])
+    return F.filter(found, lambda t: C.is_meaningful(t["rows"], P.NOISE_CELLS))
+
+
+def test_tables_and_csv_are_those_of_the_columns(spark):
+    pages = frame(spark, texts(1, 400))
+    slow = pages.select("doc_id", "page_no", F.explode(F.array(by_columns(F.col("markdown")))).alias("tables"))
+    expected = {r.doc_id: r.tables for r in slow.collect()}
+    got = {r.doc_id: r.tables for r in extraction.page_results(pages).collect()}
+    assert len(expected) == 404 and sum(map(bool, expected.values())) > 200
+    assert {t.method for tables in expected.values() for t in tables} == {"markdown", "invoice", "scattered"}
+    for doc_id, tables in expected.items():
+        assert got[doc_id] == tables, doc_id
+    files = {r.doc_id: r.csv_text for r in extraction.page_csv(slow).collect()}
+    assert {r.doc_id: r.csv_text for r in extraction.page_csv(pages).collect()} == files
+
+
+def test_some_methods_and_other_noise(spark):
+    pages = frame(spark, ["| x |", "| y |\n\n12345 1.50\n77777\n\n\n\nAB12\nAB13"])
+    only = lambda methods, noise: [r.method for r in extraction.extract_tables(pages, methods, noise).collect()]
+    assert only(extraction.METHODS[:1], ["x"]) == ["markdown"]
+    assert set(only(extraction.METHODS[2:], [])) == {"scattered"}
+
+
 def test_tokens_are_those_of_the_columns(spark):
     lines = sorted({line for text in texts(2, 80) if text for line in text.split("\n")})
     rows = spark.createDataFrame([(x,) for x in lines], "line string")
@@ -82,7 +110,7 @@ def test_values_of_other_lines_are_found_one_by_one(spark):
 
 
 @pytest.mark.parametrize(
-    "operator", [context.candidates, context.missing_row_data]
+    "operator", [extraction.page_csv, context.candidates, context.missing_row_data]
 )
 def test_no_lambda_is_interpreted_per_line(spark, operator):
     plan = operator(frame(spark, ["| a | b |"]))._jdf.queryExecution().optimizedPlan().toString()
