@@ -110,7 +110,7 @@ def test_values_of_other_lines_are_found_one_by_one(spark):
 
 
 @pytest.mark.parametrize(
-    "operator", [extraction.page_csv, context.candidates, context.missing_row_data]
+    "operator", [extraction.extract_tables, extraction.page_csv, context.candidates, context.missing_row_data]
 )
 def test_no_lambda_is_interpreted_per_line(spark, operator):
     plan = operator(frame(spark, ["| a | b |"]))._jdf.queryExecution().optimizedPlan().toString()
